@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources.schema import PARAMS, params
 
 BLOCK, DRAWS = 256, 64
@@ -241,7 +242,7 @@ def per_chain(runs: DataFrame, keys: list[str], schema: str, f: Callable[[dict],
         out = [{**{k: row[k] for k in keys}, **r} for row in pdf.to_dict("records") for r in f(row)]
         return pd.DataFrame(out, columns=names)
 
-    return runs.groupBy(*keys).applyInPandas(chain, f"{fields}, {schema}")
+    return spread(runs, *keys).groupBy(*keys).applyInPandas(chain, f"{fields}, {schema}")
 
 
 def simulate(runs: DataFrame, keys: list[str], steps: int, interval: int, t0: float | None = None, decay: float = 1.0, goal: tuple[int, int, float] | None = None, keep_state: bool = False) -> DataFrame:

@@ -248,9 +248,9 @@ def _stored_log(spark, sf_dir):
     """The log as files that a stream can read."""
     import uuid
 
-    from ..streaming.live import _folder
+    from ..session import shared_folder
 
-    path = f"{_folder(spark)}/log-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     log = _log(spark, sf_dir)
     log.write.parquet(path)
     return path, log.schema

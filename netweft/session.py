@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,25 @@ def session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one in local mode only."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    return f"file://{tempfile.mkdtemp(prefix='netweft-')}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, in the folder that spark.checkpoint.dir names (a temporary one in local mode)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="netweft-checkpoint-")
-        context.setCheckpointDir(where)
-    return df.checkpoint()
+    """The same rows with their lineage cut: written once to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows over all cores, by columns if given: for heavy kernels on few bytes, whose partitions would else be merged."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *columns) if columns else df.repartition(n)

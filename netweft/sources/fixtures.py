@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpointed
+
 STEPS = (0, 2, 5)
 
 PART_NODES = """SELECT p_partkey AS node_id, p_size / 50e0 - 0.5e0 AS psi_re, ((p_partkey * 31) % 100) / 100e0 - 0.5e0 AS psi_im FROM part"""
@@ -36,7 +38,7 @@ RUN_LOG_SPARK = _RUN_LOG.format(epochs="(unix_micros(CAST(ts AS TIMESTAMP)) - un
 
 VEC_SPARK = """WITH w AS (SELECT vec_id, e, sqrt(aggregate(e, 0D, (z, x) -> z + x * x)) AS nrm
            FROM (SELECT vec_id, transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings) v)
-SELECT a.vec_id AS src, b.vec_id AS dst, ((a.vec_id * 7919 + b.vec_id * 104729) % 6283) / 1000e0 - 3.1415e0 AS theta FROM w a JOIN w b ON a.vec_id < b.vec_id
+SELECT a.vec_id AS src, b.vec_id AS dst, ((a.vec_id * 7919 + b.vec_id * 104729) % 6283) / 1000e0 - 3.1415e0 AS theta FROM (SELECT /*+ REPARTITION(32) */ * FROM w) a JOIN w b ON a.vec_id < b.vec_id
 WHERE aggregate(zip_with(a.e, b.e, (x, y) -> x * y), 0D, (z, x) -> z + x) / (a.nrm * b.nrm) > {cos}D"""
 VEC_DUCKDB = """SELECT a.vec_id AS src, b.vec_id AS dst, ((a.vec_id * 7919 + b.vec_id * 104729) % 6283) / 1000e0 - 3.1415e0 AS theta FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > {cos}e0"""
@@ -86,9 +88,9 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_edges(spark: SparkSession, sf_dir: str, cos: float = 0.25) -> DataFrame:
-    """Embedding pairs above a cosine: for the fixture's few hundred vectors."""
+    """Embedding pairs above a cosine, stored: for the fixture's few hundred or thousand vectors."""
     tables(spark, sf_dir, "embeddings")
-    return spark.sql(VEC_SPARK.format(cos=cos))
+    return checkpointed(spark.sql(VEC_SPARK.format(cos=cos)))
 
 
 def vec_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructType
 
+from ..session import shared_folder
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -105,7 +107,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     The result goes through files of the shared folder, a batch each: nothing is collected.
     """
     spark = stream.sparkSession
-    where = _folder(spark)
+    where = shared_folder(spark)
     out, state = f"{where}/stream-{uuid.uuid4().hex}", f"{where}/stream-state-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, k: int) -> None:
@@ -124,16 +126,6 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(StructType([*stream.schema.fields]).add("batch", IntegerType())).option("recursiveFileLookup", True).parquet(out)
 
 
-def _folder(spark: SparkSession) -> str:
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    return f"file://{tempfile.mkdtemp(prefix='netweft-stream-')}"
-
-
 def latest_state(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Of updates by batch the last of each key."""
     rest = [c for c in updates.columns if c not in (*keys, "batch")]
