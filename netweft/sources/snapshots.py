@@ -108,7 +108,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
     Lines of a file keep their numbers by byte order within the file, which is read as one row.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", "*.csv").text(path).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     meta = T.path_metadata(F.col("path"))
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     f = files.select("path", meta["engine"].alias("engine"), meta["n"].alias("n"), meta["seed"].alias("seed"), lines.alias("lines"))
