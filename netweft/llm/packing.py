@@ -129,22 +129,27 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
         rank, left = 0, histogram[length]
         while left:
             room = tree.tightest(length)
-            if room < 0:
-                # No open bin takes this length: open as many as it fills up, and one more for what then is left.
-                k = max(1, left // (capacity // length))
-                first, room = bins, capacity
-                bins += k
+            new = room < 0
+            if new:  # no open bin takes this length
+                first, k, room = bins, left, capacity
             else:
                 first, k = open_bins[room].pop()
-                if k > left:
-                    open_bins[room].append((first + left, k - left))
-                    k = left
                 tree.add(room, -k)
-            plan.append((length, rank, k, first, capacity - room))
-            rank, left = rank + k, left - k
-            if room > length:
-                open_bins.setdefault(room - length, []).append((first, k))
-                tree.add(room - length, k)
+            # A bin that took a piece is now the tightest, so it takes as many as it has room for before the next one.
+            full = room // length
+            used = min(k, max(1, left // full))
+            each = min(full, left)
+            if new:
+                bins += used
+            elif used < k:
+                open_bins[room].append((first + used, k - used))
+                tree.add(room, k - used)
+            for j in range(each):
+                plan.append((length, rank, used, first, capacity - room + j * length))
+                rank, left = rank + used, left - used
+            if rest := room - each * length:
+                open_bins.setdefault(rest, []).append((first, used))
+                tree.add(rest, used)
     return plan, bins
 
 
