@@ -46,3 +46,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """The rows over all cores, by columns if given: for heavy kernels on few bytes, whose partitions would else be merged."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n, *columns) if columns else df.repartition(n)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies, whatever folder the driver was started in."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, here) if x)
