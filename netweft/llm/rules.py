@@ -35,7 +35,7 @@ RULES: list[tuple[str, int, float | None, float | None]] = [
     ("mean_word_chars", 0, 2.0, 15.0),
     ("symbol_ratio", 0, None, 0.1),
     ("stop_ratio", 50, 0.02, None),
-    ("dup_line_ratio", 0, None, 0.3),
+    ("dup_line_ratio", 0, None, 0.6),
     ("line_words", 0, 1.0, None),
 ]
 
@@ -76,8 +76,8 @@ def _covered(hashes: Column, n: int) -> Column:
     return _let(pairs, repeated)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, the counts of the base rules and those behind the ratios."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: id, the counts of the base rules and those behind the ratios, and columns to carry along."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = _let(
@@ -98,7 +98,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.char_length(F.regexp_replace(text, SPLIT, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         hits.cast("long").alias("n_stop_words"),
-    ).select("doc_id", "c.n_words", "word_chars", "n_symbols", "c.n_dup_lines", "c.n_repeat_words", "c.n_lines", "n_stop_words")
+        *carry,
+    ).select(*carry, "doc_id", "c.n_words", "word_chars", "n_symbols", "c.n_dup_lines", "c.n_repeat_words", "c.n_lines", "n_stop_words")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -125,17 +126,23 @@ def compile_rules(rules=None) -> dict[str, Column]:
     return out
 
 
-def judge(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, ``base_failed``, ``failed_rules`` and ``kept`` for each row."""
+def judge(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, ``base_failed``, ``failed_rules`` and ``kept`` for each row, and columns to carry along."""
     broken = compile_rules(rules)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     failed = F.concat_ws(",", *[F.when(c, F.lit(n)) for n, c in broken.items()])
-    return statistics(docs, id_col, text_col).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
+    return statistics(docs, id_col, text_col, carry).select(
+        *carry, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
         base.alias("base_failed"), failed.alias("failed_rules"),
     ).withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
 
+def keep(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns: one projection and filter, no shuffle."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return judge(rows, rules, "id", "text", ("row",)).where("kept").select("row.*")
+
+
 def _sql() -> str:
     conditions = []
     for name, least, low, high in RULES:

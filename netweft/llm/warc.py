@@ -213,3 +213,19 @@ def export(archives: DataFrame, folder: str) -> list[str]:
         with open(names[-1], "wb") as f:
             f.write(r["data"])
     return names
+
+
+def _sql() -> str:
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v >> {} & 31 AS BIGINT) + 1, 1)"
+    four = " || ".join(letter.format(k) for k in (15, 10, 5, 0))
+    digits = " || ".join(f"({four.replace('v >>', f"CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT) >>")})" for k in range(8))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {digits} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p
+"""
+
+
+#: What the query of this operator returns, of pages with distinct ids.
+SQL = _sql()
