@@ -34,8 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the threshold table stay."""
-    good = rules.judge(docs).groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("best")).where("best = 1").select("doc_id")
-    return _of(docs, good).select(*COLUMNS)
+    return rules.keep(docs).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
