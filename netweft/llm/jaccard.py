@@ -10,13 +10,13 @@ distance 1 hold everything). Pivots are ordered, those that a bounded sample fin
 last, and the Voronoi region of a set is that of its first pivot; linked sets need not share the first, but must
 share one of the first ``n - ceil(3n/4) + 1``, so each set is replicated to these regions.
 A region of at most ``REGION`` sets gives its pairs; pairs whose shared pivots and what remains behind
-them can't reach the overlap needed are dropped.
+them can't reach the overlap needed are dropped, and the others' distances are computed.
 
 Level 2: the sets of larger regions are joined again, recursively, with pivots ordered by how many of
 these sets hold them, the rarest first. Pivots held by one set alone link nothing.
 
-Level 3: what still meets in a large region is alike. Candidates, connected, form regions in
-which pivots are documents: sets go to their nearest pivot, those at the boundary (distance at
+Level 3: what still meets in a large region is alike. These regions, united where they overlap, are
+joined by pivots that are documents: sets go to their nearest pivot, those at the boundary (distance at
 most that to the nearest plus 2R) to further ones, and the parts are joined in the same way until they
 are small; there each distance that the pivots' distances leave open is computed. Sets within R of
 a pivot link to it, and a part whose sets are all linked already is done. A region beyond
@@ -44,10 +44,10 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .shared import arrow_kernel, arrow_schema, cut
+from .shared import arrow_kernel, arrow_schema, cut, discard
 
 WORDS, R = 5, 0.25
-REGION, SAMPLE, COMMON_IN, COMMON_MOST = 32, 16_384, 4, 1 << 18
+REGION, SAMPLE, COMMON_IN, COMMON_MOST = 32, 32_768, 2, 1 << 19
 REGION_SETS, REGION_HASHES, PIVOTS, LEAF = 4096, 1 << 22, 16, 48
 BITMAP = 1 << 22
 _EPS = 1e-9
@@ -206,8 +206,8 @@ def _bitmap(sigs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """``sig, n, set`` for each signature wanted."""
-    passing = docs.sparkSession.sparkContext.broadcast(_bitmap(sigs))
+    """``sig, n, set`` and the other columns of ``sigs`` for each signature in it."""
+    passing = docs.sparkSession.sparkContext.broadcast(_bitmap(sigs.select("sig")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -226,8 +226,29 @@ def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     schema = "sig long, n long, set array<long>"
     target = arrow_schema(docs.sparkSession, schema)
-    found = docs.mapInArrow(run, schema).join(sigs, "sig", "left_semi")
-    return found.groupBy("sig", "n").agg(F.first("set").alias("set"))
+    found = docs.mapInArrow(run, schema).join(sigs, "sig")
+    return found.groupBy(*sigs.columns, "n").agg(F.first("set").alias("set"))
+
+
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sets link: each set travels to its own place once and from there with each pair."""
+    target = arrow_schema(docs.sparkSession, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(_hash_sets(batch.column("one")), _hash_sets(batch.column("two")), strict=True):
+                x, y = (x, y) if len(x) >= len(y) else (y, x)
+                # As unsigned numbers sets are in order; so they are as signed ones but for a turn.
+                x = np.sort(x)
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                keep.append(7 * both >= 3 * (len(x) + len(y)))
+            if any(keep):
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], schema=target)
+
+    sets = _sets(docs, cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "jaccard-wanted"))
+    one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("one")), "a")
+    return one.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
 # -- regions of document pivots ---------------------------------------------------------------------
@@ -395,7 +416,7 @@ def _sized(regions: DataFrame, most_sets: int, most_hashes: int) -> DataFrame:
 
 
 def join_regions(regions: DataFrame, most_sets: int = REGION_SETS, most_hashes: int = REGION_HASHES) -> DataFrame:
-    """Links that span the components of each region of ``region, sig, n, set``, whatever its size."""
+    """Links that span the components of each region of a stored table ``region, sig, n, set``, whatever its size."""
     links = None
     while True:
         sizes = cut(_sized(regions, most_sets, most_hashes), "jaccard-sizes")
@@ -434,20 +455,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_common(docs))
-    signed = cut(_signatures(docs, common), "jaccard-signatures")
-    rows = signed.where(F.size("pivots") > 0).select("n", "sig", F.posexplode("pivots").alias("pos", "key"))
+    with_pivots = cut(_signatures(docs, common), "jaccard-signatures")
+    rows = with_pivots.where(F.size("pivots") > 0).select("n", "sig", F.posexplode("pivots").alias("pos", "key"))
     first = cut(_regions(rows), "jaccard-pairs")
-    members = first.where("i IS NULL").select(F.col("a").alias("sig")).distinct()
-    members = cut(members, "jaccard-members")
+    signed = cut(with_pivots.select("doc_id", "n", "sig"), "jaccard-ids")
+    discard(with_pivots)
+    members = cut(first.where("i IS NULL").select(F.col("a").alias("sig")).distinct(), "jaccard-members")
     near = _near(first)
     # Pairs that are both members are joined at the next level, and their counts here lack large regions.
     both = near.join(members.withColumnRenamed("sig", "a"), "a", "left_semi").join(members.withColumnRenamed("sig", "b"), "b", "left_semi")
     near = cut(near.join(both, ["a", "b"], "left_anti"), "jaccard-near")
-    wanted = near.select(F.col("a").alias("sig")).union(near.select("b")).union(members).distinct()
-    sets = cut(_sets(docs, cut(wanted, "jaccard-wanted")), "jaccard-sets")
 
     # Level 2: the members, pivots rarest first.
-    again = sets.join(members, "sig", "left_semi")
+    again = cut(_sets(docs, members), "jaccard-sets")
     held = again.select("sig", "n", F.explode("set").alias("key"))
     shared = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     pivots = held.join(shared, "key").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"))
@@ -455,18 +475,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rarest = pivots.where(length > 0).select("n", "sig", (F.col("n") - F.size("p")).cast("int").alias("alone"), F.posexplode(F.slice("p", 1, length.cast("int"))).alias("k", "x"))
     second = cut(_regions(rarest.select(F.col("x.key").alias("key"), "n", "sig", (F.col("k") + F.col("alone")).cast("int").alias("pos"))), "jaccard-pairs")
     large = second.where("i IS NULL").select(F.col("a").alias("sig"), F.col("b").alias("key"))
-    alike = large.join(large.groupBy("key").agg(F.min("sig").alias("least")), "key").select(F.col("sig").alias("a"), F.col("least").alias("b"))
     inside = large.select("sig").distinct()
     nearer = _near(second)
     # Counts of pairs that may share a large region as well say nothing: these stay candidates.
     pairs = second.where("i IS NOT NULL").select("a", "b").distinct()
     open_pairs = pairs.join(inside.withColumnRenamed("sig", "a"), "a", "left_semi").join(inside.withColumnRenamed("sig", "b"), "b", "left_semi")
-    candidates = near.unionByName(nearer).unionByName(open_pairs).unionByName(alike)
 
-    # Level 3: candidates, connected, are regions of document pivots.
-    clusters = cut(components(candidates), "jaccard-clusters")
-    regions = cut(sets.join(clusters.select(F.col("node").alias("sig"), F.col("root").alias("region")), "sig"), "jaccard-regions")
-    classes = components(join_regions(regions.select("region", "sig", "n", "set")))
+    # Level 3: what meets in large regions still, joined where regions overlap, is joined by document pivots.
+    alike = large.join(large.groupBy("key").agg(F.min("sig").alias("least")), "key").select(F.col("sig").alias("a"), F.col("least").alias("b"))
+    whole = cut(components(alike).select(F.col("node").alias("sig"), F.col("root").alias("region")), "jaccard-alike")
+    links = join_regions(cut(again.join(whole, "sig"), "jaccard-regions"))
+    candidates = cut(near.unionByName(nearer).unionByName(open_pairs).distinct(), "jaccard-candidates")
+    discard(first, second, again)
+    classes = components(links.unionByName(cut(_linked(docs, candidates), "jaccard-links")))
 
     rooted = signed.select("doc_id", "n", "sig").join(classes.select(F.col("node").alias("sig"), "root"), "sig", "left")
     rooted = rooted.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("root"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +36,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` stored and that nothing reads any more, and let finished shuffles go with them."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that it no longer refers to finished shuffles, whose files executors then remove."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
