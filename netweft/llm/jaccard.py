@@ -72,7 +72,7 @@ def _large_arrays(values: list[np.ndarray]) -> pa.Array:
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles that at least COMMON_IN of SAMPLE documents (those with the smallest id hashes) hold; at most COMMON_MOST."""
+    """Shingles that at least COMMON_IN of about SAMPLE documents (those with the smallest id hashes) hold; at most COMMON_MOST."""
     total = docs.count()
     if not total:
         return np.zeros(0, np.uint64)
@@ -85,9 +85,17 @@ def _common(docs: DataFrame) -> np.ndarray:
             yield {"sig": [_signature(s) for s in sets], "h": _large_arrays(sets)}
 
     held = arrow_kernel(drawn, "sig long, h array<long>", rows).dropDuplicates(["sig"]).select(F.explode("h").alias("h"))
-    counts = held.groupBy("h").count().where(F.col("count") >= COMMON_IN)
-    found = [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").collect()] if total > SAMPLE else [r["h"] for r in counts.limit(COMMON_MOST).collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
+    counts = cut(held.groupBy("h").count().where(F.col("count") >= COMMON_IN), "jaccard-common")
+    # As many of the largest counts, taken whole, as fit in COMMON_MOST.
+    least, some = 1 << 40, 0
+    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():  # at most SAMPLE rows
+        some += r["n"]
+        if some > COMMON_MOST:
+            break
+        least = r["count"]
+    found = counts.where(F.col("count") >= least).select("h").toArrow().column("h").to_numpy()
+    discard(counts)
+    return np.sort(found.view(np.uint64))
 
 
 def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -493,3 +501,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rooted = rooted.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("root"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: The same rows by pairs of all documents that share a shingle; for small tables.
+SQL = r"""WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT r, s FROM (
+    SELECT r, list_slice(w, i, i + 4) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5) x
+    UNION ALL SELECT r, w FROM t WHERE len(w) BETWEEN 1 AND 4) y),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+h AS (SELECT r, s FROM g QUALIFY count(*) OVER (PARTITION BY s) > 1),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM h a JOIN h b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT DISTINCT x AS root, x AS r FROM e UNION SELECT reach.root, e.y FROM reach JOIN e ON e.x = reach.r),
+c AS (SELECT reach.root AS r, min(doc_id) AS component_id FROM reach JOIN t ON t.r = reach.r GROUP BY 1)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, t.doc_id) AS component_id FROM t LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""

@@ -71,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: SQL where it can say the same. op3's recursive closure over pairs is only fit for small tables, so it is tested against brute force.
-SQL: dict[str, str] = {"op1_quality_rules": rules.SQL, "op4_mixing": mixing.SQL, "op9_license_scan": licenses.SQL, "op6_warc": warc.SQL if hasattr(warc, "SQL") else ""}
-SQL = {k: v for k, v in SQL.items() if v}
+#: SQL where it can say the same.
+SQL: dict[str, str] = {
+    "op1_quality_rules": rules.SQL, "op3_jaccard_join": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_warc": warc.SQL, "op9_license_scan": licenses.SQL,
+}
