@@ -457,6 +457,21 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(ours(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_001_000, "\n" * 2_000_000 + "x", "a" + " \u00a0" * 600_000 + " b"])
+def test_encoder_takes_white_space_of_any_length(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Encoder(vocabulary())(text), "<u4").tolist() == want
+
+
+def test_encoder_falls_back_when_the_fast_engine_fails(monkeypatch):
+    """Without the bound on white space the engine itself fails, and the library takes the text."""
+    monkeypatch.setattr(packing, "BLANKS", 1 << 40)
+    text = " " * 1_001_000
+    assert len(packing.Encoder(vocabulary())(text)) == 4 * 1_001_000
+
+
 # -- op9 ----------------------------------------------------------------------------------------------
 
 
