@@ -472,6 +472,21 @@ def test_encoder_falls_back_when_the_fast_engine_fails(monkeypatch):
     assert len(packing.Encoder(vocabulary())(text)) == 4 * 1_001_000
 
 
+def test_packing_inserts_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())  # with its default settings
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>  a\n", "<|endoftext", "x" + " " * 50 + "<|endoftext|>" + "\n" * 3]
+    ours = packing.Encoder(vocabulary())
+    for plain in (True, False):
+        ours.plain = plain
+        for x in texts:
+            assert np.frombuffer(ours.with_added(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pieces(make(spark, list(enumerate(texts))), vocabulary()).collect()}
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+
+
 # -- op9 ----------------------------------------------------------------------------------------------
 
 
