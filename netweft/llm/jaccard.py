@@ -18,18 +18,19 @@ these sets hold them, the rarest first. Pivots held by one set alone link nothin
 Level 3: what still meets in a large region is alike. These regions, united where they overlap, are
 joined by pivots that are documents: sets go to their nearest pivot, those at the boundary (distance at
 most that to the nearest plus 2R) to further ones, and the parts are joined in the same way until they
-are small; there each distance that the pivots' distances leave open is computed. Sets within R of
-a pivot link to it, and a part whose sets are all linked already is done. A region beyond
+are small; there all overlaps are computed, by matrix products over shingles that many sets hold. A pair
+is taken where the set of the smaller hash is at home, in the part of its nearest pivot, so once. A region beyond
 ``REGION_SETS`` or ``REGION_HASHES`` is first split in this way across the cluster; if pivots
 don't split it, by pairs of blocks.
 
-Links found span the components of the link relation over distinct sets; components follow by
-star contraction. Equal sets are one class from the start and cost one set.
+All links are found. Regions give their number for each set, weighted by the rows that the other set
+stands for, and links that span their components; components follow by star contraction. Equal sets are
+one class from the start and cost one set; rows of one set link with each other.
 
 Shingles and sets are identified by 64-bit hashes. Sampling affects the order of pivots only.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; repeated
-rows are one class; a null id takes the smallest id of its component, or null; texts of fewer than five words are one shingle;
+rows are one class and linked; a null id takes the smallest id of its component, or null; texts of fewer than five words are one shingle;
 an empty table gives an empty table; extra columns are not read.
 """
 
@@ -48,7 +49,9 @@ from .shared import arrow_kernel, arrow_schema, cut, discard
 
 WORDS, R = 5, 0.25
 REGION, SAMPLE, COMMON_IN, COMMON_MOST = 32, 32_768, 2, 1 << 19
-REGION_SETS, REGION_HASHES, PIVOTS, LEAF = 4096, 1 << 22, 16, 48
+REGION_SETS, REGION_HASHES, PIVOTS, LEAF = 4096, 1 << 22, 16, 256
+#: Sets of a region that hold a shingle from which on it is counted by matrix products, and columns of these.
+HEAVY, CHUNK = 32, 1024
 BITMAP = 1 << 22
 _EPS = 1e-9
 
@@ -263,88 +266,98 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 class Region:
-    """Sets (sorted distinct hashes) and the links found among them so far."""
+    """Sets (sorted distinct hashes) in the order of their ids, the rows each stands for, and what is found about them.
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+    ``home`` says in which region a set's pairs with sets of larger ids are taken; of two sets with the
+    same ``half`` (0 or 1, -1 for none) the pair is taken elsewhere.
+    """
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], home: np.ndarray | None = None, rows: np.ndarray | None = None, half: np.ndarray | None = None) -> None:
+        k = len(ids)
         self.ids, self.n = ids, np.array([len(s) for s in sets])
         self.all = np.concatenate(sets) if sets else np.zeros(0, np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.n)])
-        self.root = list(range(len(ids)))
+        self.home = np.ones(k, bool) if home is None else home
+        self.rows = np.ones(k, np.int64) if rows is None else rows
+        self.half = np.full(k, -1) if half is None else half
+        self.label = np.arange(k)
+        self.counts = np.zeros(k, np.int64)
         self.links: list[tuple[int, int]] = []
 
-    def find(self, x: int) -> int:
-        while self.root[x] != x:
-            self.root[x] = self.root[self.root[x]]
-            x = self.root[x]
-        return x
-
-    def link(self, x: int, y: int) -> None:
-        a, b = self.find(x), self.find(y)
-        if a != b:
-            self.root[max(a, b)] = min(a, b)
-            self.links.append((self.ids[x], self.ids[y]))
-
-    def shared(self, x: int, members: np.ndarray) -> np.ndarray:
-        """Shingles that x shares with each of the members."""
-        own = self.all[self.at[x] : self.at[x + 1]]
-        if not len(members):
-            return np.zeros(0, int)
-        if len(members) == len(self.n):
-            other, n = self.all, self.n
-        else:
-            n = self.n[members]
-            other = np.concatenate([self.all[self.at[m] : self.at[m + 1]] for m in members])
-        hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
-        return np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n)[:-1]]))
+    def of(self, members: np.ndarray) -> np.ndarray:
+        return self.all if len(members) == len(self.n) else np.concatenate([self.all[self.at[m] : self.at[m + 1]] for m in members])
 
-    def distance(self, x: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Jaccard distances, and whether they are at most R by integers."""
-        both = self.shared(x, members)
-        total = self.n[x] + self.n[members]
-        return 1 - both / (total - both), 7 * both >= 3 * total
+    def distance(self, x: int, members: np.ndarray) -> np.ndarray:
+        """Jaccard distances."""
+        own, other = self.all[self.at[x] : self.at[x + 1]], self.of(members)
+        hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+        both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(self.n[members])[:-1]]), dtype=np.int64)
+        return 1 - both / (self.n[x] + self.n[members] - both)
 
-    def join(self, members: np.ndarray) -> None:
-        if len({self.find(m) for m in members.tolist()}) < 2:
+    def join(self, members: np.ndarray, home: np.ndarray) -> None:
+        """All links between members (rising) whose first set is at home here."""
+        if len(members) < 2 or not home.any():
             return
-        # Pivots: each the member farthest from those before, until all lie within R of one.
-        pivots, rows, nearest = [int(members[0])], [], np.full(len(members), np.inf)
-        while True:
-            d, linked = self.distance(pivots[-1], members)
-            for m in members[linked].tolist():
-                self.link(pivots[-1], m)
-            rows.append(d)
-            nearest = np.minimum(nearest, d)
-            far = int(nearest.argmax())
-            if len(pivots) == PIVOTS or nearest[far] <= R or len(members) <= LEAF and len(pivots) == 4:
+        if len(members) > LEAF:
+            # Pivots: each the member farthest from those before, until all lie within R of one.
+            pivot, table, nearest = int(members[0]), [], np.full(len(members), np.inf)
+            while True:
+                table.append(self.distance(pivot, members))
+                nearest = np.minimum(nearest, table[-1])
+                far = int(nearest.argmax())
+                if len(table) == PIVOTS or nearest[far] <= R:
+                    break
+                pivot = int(members[far])
+            inside = np.array(table) <= nearest + 2 * R + _EPS
+            if inside.sum(1).max() <= 0.8 * len(members):
+                own = np.argmin(table, 0)
+                for k, part in enumerate(inside):
+                    self.join(members[part], (home & (own == k))[part])
+                return
+        self.compare(members, home)
+
+    def compare(self, members: np.ndarray, home: np.ndarray) -> None:
+        n, k = self.n[members], len(members)
+        column, inverse = np.unique(self.of(members), return_inverse=True)
+        order = np.argsort(inverse, kind="stable")  # by shingle, then by member
+        shingle, member = inverse[order], np.repeat(np.arange(k), n)[order]
+        df = np.bincount(shingle, minlength=len(column))
+        row = np.where(home, np.cumsum(home) - 1, -1)
+        both = np.zeros((int(home.sum()), k), np.float32)
+        light = (df[shingle] > 1) & (df[shingle] < HEAVY)
+        c, m = shingle[light], member[light]
+        for d in range(1, HEAVY - 1):
+            same = c[d:] == c[:-d]
+            if not same.any():
                 break
-            pivots.append(int(members[far]))
-        if len({self.find(m) for m in members.tolist()}) < 2:
-            return
-        table = np.array(rows)
-        inside = table <= nearest + 2 * R + _EPS
-        if len(members) > LEAF and inside.sum(1).max() <= 0.8 * len(members):
-            for part in inside:
-                self.join(members[part])
-            return
-        self.compare(members, table)
-
-    def compare(self, members: np.ndarray, table: np.ndarray) -> None:
-        """Every distance that sizes and the pivots' windows leave open, between sets not linked yet."""
-        order = np.argsort(self.n[members], kind="stable")
-        members, table = members[order], table[:, order]
-        n = self.n[members]
-        for k in range(len(members) - 1):
-            stop = int(np.searchsorted(n, n[k] * 4 / 3 + _EPS, "right"))
-            if stop <= k + 1:
+            x, y = m[:-d][same], m[d:][same]
+            np.add.at(both, (row[x[home[x]]], y[home[x]]), np.float32(1))
+        heavy = df[shingle] >= HEAVY
+        c, m = np.unique(shingle[heavy], return_inverse=True)[1], member[heavy]
+        cuts = np.searchsorted(c, np.arange(0, (c[-1] if len(c) else -1) + 1 + CHUNK, CHUNK))
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            held = np.zeros((k, CHUNK), np.float32)
+            held[m[start:stop], c[start:stop] % CHUNK] = 1
+            at_home = held[home]
+            for r in range(0, len(at_home), CHUNK):
+                both[r : r + CHUNK] += at_home[r : r + CHUNK] @ held.T
+        half, rows = self.half[members], self.rows[members]
+        for x, overlap in zip(np.flatnonzero(home).tolist(), both, strict=True):
+            y = x + 1 + np.flatnonzero(7 * overlap[x + 1 :].astype(np.int64) >= 3 * (n[x] + n[x + 1 :]))
+            y = y[(half[y] < 0) | (half[y] != half[x])]
+            if not len(y):
                 continue
-            later = np.arange(k + 1, stop)
-            later = later[(np.abs(table[:, k + 1 : stop] - table[:, k : k + 1]) <= R + _EPS).all(0)]
-            own = self.find(int(members[k]))
-            later = later[[self.find(m) != own for m in members[later].tolist()]] if len(later) else later
-            if len(later):
-                _, linked = self.distance(int(members[k]), members[later])
-                for m in members[later[linked]].tolist():
-                    self.link(int(members[k]), m)
+            self.counts[members[x]] += rows[y].sum()
+            self.counts[members[y]] += rows[x]
+            first = self.label[members[x]]
+            for other in np.unique(self.label[members[y]]).tolist():
+                if other != first:
+                    z = int(members[y[np.argmax(self.label[members[y]] == other)]])
+                    self.links.append((self.ids[members[x]], self.ids[z]))
+                    self.label[self.label == other] = first
+
+
+_FOUND = "a long, b long, c long"
 
 
 def _hash_sets(column: pa.Array) -> list[np.ndarray]:
@@ -353,62 +366,62 @@ def _hash_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def _join_regions(regions: DataFrame) -> DataFrame:
-    """Links ``a, b`` of ``region, sig, set``, each region small enough for one task."""
-    target = arrow_schema(regions.sparkSession, "a long, b long")
+    """Of ``region, sig, set, home, m, half``, each region small enough for one task: spanning links ``a, b`` and, with b null, the rows c that a links with."""
+    target = arrow_schema(regions.sparkSession, _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
+        held: list[tuple[int, np.ndarray, bool, int, int]] = []
         current = None
 
         def joined() -> Iterator[pa.RecordBatch]:
-            region = Region(ids, [np.sort(s) for s in sets])
-            region.join(np.arange(len(ids)))
-            if region.links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in region.links], pa.int64()) for k in (0, 1)], schema=target)
+            ids, sets, home, rows, half = zip(*held, strict=True)
+            region = Region(list(ids), [np.sort(s) for s in sets], np.array(home), np.array(rows), np.array(half))
+            region.join(np.arange(len(ids)), region.home)
+            some = np.flatnonzero(region.counts).tolist()
+            out = [(a, b, None) for a, b in region.links] + [(ids[k], None, int(region.counts[k])) for k in some]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], schema=target)
 
         for batch in batches:
-            for key, sig, s in zip(batch.column("region").to_pylist(), batch.column("sig").to_pylist(), _hash_sets(batch.column("set")), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("region", "sig", "home", "m", "half")]
+            for key, sig, home, m, half, s in zip(*columns, _hash_sets(batch.column("set")), strict=True):
                 if key != current:
-                    if len(ids) > 1:
+                    if len(held) > 1:
                         yield from joined()
-                    ids, sets, current = [], [], key
-                ids.append(sig)
-                sets.append(s.copy())
-        if len(ids) > 1:
+                    held, current = [], key
+                held.append((sig, s.copy(), home, m, half))
+        if len(held) > 1:
             yield from joined()
 
-    return regions.select("region", "sig", "set").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(run, "a long, b long")
+    return regions.select("region", "sig", "set", "home", "m", "half").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(run, _FOUND)
 
 
 def _split(regions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Voronoi parts of large regions by sampled document pivots: rows ``region, parent, sig, n, set, linked`` and links ``a, b`` (set null)."""
-    schema = "region long, parent long, sig long, n long, set array<long>, linked boolean, a long, b long"
+    """Voronoi parts of large regions by sampled document pivots: rows ``region, parent, sig, n, set, home, m``."""
+    schema = "region long, parent long, sig long, n long, set array<long>, home boolean, m long"
     target = arrow_schema(regions.sparkSession, schema)
     big = regions.join(sizes, "region").withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "sig"), F.col("parts")))
     drawn = big.where(F.pmod(F.xxhash64(F.lit(4), "region", "sig"), F.lit(1 << 20)) * F.col("sets") < F.lit(4 * PIVOTS << 20))
     ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64(F.lit(4), "region", "sig"), "sig"))).where(F.col("k") <= PIVOTS)
     pivots = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = pivots.select("region", "salt", F.lit(0).alias("role"), "sig", "n", "set").unionByName(big.select("region", "salt", F.lit(1).alias("role"), "sig", "n", "set"))
+    columns = ("sig", "n", "set", "home", "m")
+    rows = pivots.select("region", "salt", F.lit(0).alias("role"), *columns).unionByName(big.select("region", "salt", F.lit(1).alias("role"), *columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, sets = None, [], []
         for batch in batches:
             out: list[tuple] = []
-            for key, salt, role, sig, n, s in zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "role", "sig", "n")), _hash_sets(batch.column("set")), strict=True):
+            for key, salt, role, sig, n, home, m, s in zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "role", "sig", "n", "home", "m")), _hash_sets(batch.column("set")), strict=True):
                 if (key, salt) != current:
                     current, ids, sets = (key, salt), [], []
                 if role == 0:
                     ids.append(sig)
                     sets.append(np.sort(s))
                     continue
-                x = Region([sig, *ids], [np.sort(s), *sets])
-                d, linked = x.distance(0, np.arange(1, len(ids) + 1))
-                for k in np.flatnonzero(linked).tolist():
-                    if ids[k] != sig:
-                        out.append((None, key, None, None, None, None, sig, ids[k]))
-                for k in np.flatnonzero(d <= d.min() + 2 * R + _EPS).tolist():
-                    out.append((int(tokens.mix(np.array([(key * 31 + ids[k]) % (1 << 64)], np.uint64)).view(np.int64)[0]), key, sig, n, s, bool(linked[k]), None, None))
+                d = Region([sig, *ids], [np.sort(s), *sets]).distance(0, np.arange(1, len(ids) + 1))
+                own = int(d.argmin())
+                for k in np.flatnonzero(d <= d[own] + 2 * R + _EPS).tolist():
+                    out.append((int(tokens.mix(np.array([(key * 31 + ids[k]) % (1 << 64)], np.uint64)).view(np.int64)[0]), key, sig, n, s, home and k == own, m))
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(target)], schema=target)
                     out = []
@@ -424,42 +437,45 @@ def _sized(regions: DataFrame, most_sets: int, most_hashes: int) -> DataFrame:
 
 
 def join_regions(regions: DataFrame, most_sets: int = REGION_SETS, most_hashes: int = REGION_HASHES) -> DataFrame:
-    """Links that span the components of each region of a stored table ``region, sig, n, set``, whatever its size."""
-    links = None
+    """Links ``a, b`` that span the components of each region of a stored table ``region, sig, n, set``, whatever its size."""
+    return found_in(regions.withColumn("m", F.lit(1).cast("long")), most_sets, most_hashes).where("b IS NOT NULL").select("a", "b")
+
+
+def found_in(regions: DataFrame, most_sets: int = REGION_SETS, most_hashes: int = REGION_HASHES) -> DataFrame:
+    """What ``_join_regions`` finds in a stored table ``region, sig, n, set, m``, a region being of any size; counts of a set may come in several rows."""
+    none = F.lit(-1).alias("half")
+    regions, found = regions.withColumn("home", F.lit(True)), None
     while True:
         sizes = cut(_sized(regions, most_sets, most_hashes), "jaccard-sizes")
         small = sizes.where("parts = 1 AND sets > 1").select("region")
-        found = cut(_join_regions(regions.join(small, "region", "left_semi")), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
+        part = cut(_join_regions(regions.join(small, "region", "left_semi").select("*", none)), "jaccard-links")
+        found = part if found is None else found.unionByName(part)
         large = sizes.where("parts > 1").select("region", "sets", "parts")
         if large.isEmpty():
-            return links
-        out = cut(_split(regions, large), "jaccard-parts")
-        links = links.unionByName(out.where("set IS NULL").select("a", "b"))
-        parts = out.where("set IS NOT NULL")
-        # Parts whose sets are all linked to their pivot are done; parts that are nearly their whole parent don't shrink.
-        state = parts.groupBy("region", "parent").agg(F.min("linked").alias("done"), F.count("*").alias("now"))
-        state = state.join(large.select(F.col("region").alias("parent"), "sets"), "parent").where("NOT done")
+            return found
+        parts = cut(_split(regions, large), "jaccard-parts")
+        # Parts that are nearly their whole parent don't shrink.
+        state = parts.groupBy("region", "parent").agg(F.count("*").alias("now")).join(large.select(F.col("region").alias("parent"), "sets"), "parent")
         stuck = cut(state.where("now > 0.8 * sets").select("parent").distinct(), "jaccard-stuck")
-        going = state.join(stuck, "parent", "left_anti").select("region")
-        shrunk = parts.join(going, "region", "left_semi").select("region", "sig", "n", "set")
+        shrunk = parts.join(stuck, "parent", "left_anti").select("region", "sig", "n", "set", "home", "m")
         whole = regions.join(stuck.withColumnRenamed("parent", "region"), "region", "left_semi")
-        links = links.unionByName(cut(_join_regions(_blocks(whole, sizes)), "jaccard-links"))
+        found = found.unionByName(cut(_join_regions(_blocks(whole, sizes)), "jaccard-links"))
         regions = cut(shrunk, "jaccard-regions")
 
 
 def _blocks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each pair of blocks of a region as a region: every two sets meet in one of them."""
-    r = regions.join(sizes.select("region", (2 * F.col("parts")).alias("m")), "region").withColumn("x", F.pmod(F.xxhash64(F.lit(6), "sig"), F.col("m")))
-    r = r.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    return r.select(F.xxhash64("region", F.least("x", "y"), F.greatest("x", "y")).alias("region"), "sig", "n", "set")
+    """Each pair of blocks of a region as a region; two sets of one block are compared where it meets itself."""
+    r = regions.join(sizes.select("region", (2 * F.col("parts")).alias("blocks")), "region").withColumn("x", F.pmod(F.xxhash64(F.lit(6), "sig"), F.col("blocks")))
+    r = r.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    half = F.when(F.col("x") == F.col("y"), -1).when(F.col("x") < F.col("y"), 0).otherwise(1)
+    return r.select(F.xxhash64("region", F.least("x", "y"), F.greatest("x", "y")).alias("region"), "sig", "n", "set", "home", "m", half.alias("half"))
 
 
 # -- the operator -----------------------------------------------------------------------------------
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row."""
+    """``doc_id, n_shingles, component_id, n_links`` for each row; the last are the other rows within ``R``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_common(docs))
@@ -475,7 +491,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     near = cut(near.join(both, ["a", "b"], "left_anti"), "jaccard-near")
 
     # Level 2: the members, pivots rarest first.
-    again = cut(_sets(docs, members), "jaccard-sets")
+    stands_for = cut(signed.where("n > 0").groupBy("sig").agg(F.count("*").alias("m")), "jaccard-rows")
+    again = cut(_sets(docs, members.join(stands_for, "sig")), "jaccard-sets")
     held = again.select("sig", "n", F.explode("set").alias("key"))
     shared = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     pivots = held.join(shared, "key").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"))
@@ -492,15 +509,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Level 3: what meets in large regions still, joined where regions overlap, is joined by document pivots.
     alike = large.join(large.groupBy("key").agg(F.min("sig").alias("least")), "key").select(F.col("sig").alias("a"), F.col("least").alias("b"))
     whole = cut(components(alike).select(F.col("node").alias("sig"), F.col("root").alias("region")), "jaccard-alike")
-    links = join_regions(cut(again.join(whole, "sig"), "jaccard-regions"))
-    candidates = cut(near.unionByName(nearer).unionByName(open_pairs).distinct(), "jaccard-candidates")
+    inner = found_in(cut(again.join(whole, "sig"), "jaccard-regions"))
+    # Pairs of one region are found there.
+    candidates = near.unionByName(nearer).unionByName(open_pairs).distinct()
+    placed = candidates.join(whole.select(F.col("sig").alias("a"), F.col("region").alias("of_a")), "a", "left").join(whole.select(F.col("sig").alias("b"), F.col("region").alias("of_b")), "b", "left")
+    candidates = cut(placed.where("of_a IS NULL OR of_b IS NULL OR of_a != of_b").select("a", "b"), "jaccard-candidates")
     discard(first, second, again)
-    classes = components(links.unionByName(cut(_linked(docs, candidates), "jaccard-links")))
-
-    rooted = signed.select("doc_id", "n", "sig").join(classes.select(F.col("node").alias("sig"), "root"), "sig", "left")
-    rooted = rooted.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("root"))
+    outer = cut(_linked(docs, candidates), "jaccard-links")
+    classes = components(inner.where("b IS NOT NULL").select("a", "b").unionByName(outer))
+    ends = outer.union(outer.select("b", "a")).toDF("sig", "other")
+    weighted = ends.join(stands_for.withColumnRenamed("sig", "other"), "other").select("sig", F.col("m").alias("c"))
+    others = weighted.unionByName(inner.where("b IS NULL").select(F.col("a").alias("sig"), "c")).groupBy("sig").agg(F.sum("c").alias("c"))
+    # Sets that stand for one row and link with nothing need no row here.
+    known = stands_for.join(others, "sig", "left").join(classes.select(F.col("node").alias("sig"), "root"), "sig", "left").where("m > 1 OR c IS NOT NULL")
+
+    rooted = signed.select("doc_id", "n", "sig").join(known, "sig", "left")
+    n_links = F.coalesce("c", F.lit(0)) + F.coalesce("m", F.lit(1)) - 1
+    rooted = rooted.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("root"), n_links.alias("n_links"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
 
 
 #: The same rows by pairs of all documents that share a shingle; for small tables.
@@ -519,3 +546,7 @@ reach AS (SELECT DISTINCT x AS root, x AS r FROM e UNION SELECT reach.root, e.y
 c AS (SELECT reach.root AS r, min(doc_id) AS component_id FROM reach JOIN t ON t.r = reach.r GROUP BY 1)
 SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, t.doc_id) AS component_id FROM t LEFT JOIN n USING (r) LEFT JOIN c USING (r)
 """
+
+#: The same with the number of links.
+LINKS_SQL = SQL.replace("SELECT t.doc_id,", "k AS (SELECT x AS r, count(*) AS n_links FROM e GROUP BY 1)\nSELECT t.doc_id,").replace("GROUP BY 1)\nk AS", "GROUP BY 1),\nk AS")
+LINKS_SQL = LINKS_SQL.replace(" AS component_id FROM t", " AS component_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links FROM t").rstrip() + " LEFT JOIN k USING (r)\n"

@@ -25,6 +25,10 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).drop("n_links")
+
+
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
@@ -66,12 +70,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_matroska, op3_jaccard_join, op4_mixing, op5_sharding, op6_warc,
+        op1_quality_rules, op2_matroska, op3_jaccard_join, op3_jaccard_links, op4_mixing, op5_sharding, op6_warc,
         op7_quality_classifier, op8_packing, op9_license_scan, op10_lm_scoring, pipeline,
     )
 }
 
 #: SQL where it can say the same.
 SQL: dict[str, str] = {
-    "op1_quality_rules": rules.SQL, "op3_jaccard_join": jaccard.SQL, "op4_mixing": mixing.SQL, "op6_warc": warc.SQL, "op9_license_scan": licenses.SQL,
+    "op1_quality_rules": rules.SQL, "op3_jaccard_join": jaccard.SQL, "op3_jaccard_links": jaccard.LINKS_SQL, "op4_mixing": mixing.SQL, "op6_warc": warc.SQL, "op9_license_scan": licenses.SQL,
 }

@@ -239,6 +239,64 @@ def test_regions_beyond_a_task_are_split(spark):
         assert {k: found.get(k, k) for k in want} == want
 
 
+def links_brute(rows):
+    sets = []
+    for _, text, *_ in rows:
+        w = words(text)
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset())
+    n = [0] * len(rows)
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            n[a] += 1
+            n[b] += 1
+    return Counter((r[0], len(s), k) for r, s, k in zip(rows, sets, n))
+
+
+@pytest.mark.parametrize("bounds", [{}, {"REGION": 4}, {"REGION": 4, "LEAF": 8, "HEAVY": 4, "CHUNK": 16}])
+def test_jaccard_join_counts_all_links(spark, monkeypatch, bounds):
+    for k, x in bounds.items():
+        monkeypatch.setattr(jaccard, k, x)
+    rows = corpus() + [(300 + k, corpus()[140 + k % 3][1], "s0") for k in range(9)]  # some sets stand for several rows
+    got = jaccard.join(make(spark, rows).repartition(5)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == links_brute(rows)
+
+
+def test_jaccard_links_equal_their_sql(spark, sf):
+    import duckdb
+
+    from netweft.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.sql(SQL["op3_jaccard_links"]).to_arrow_table()
+    got = QUERIES["op3_jaccard_links"](spark, sf)
+    assert got.columns == want.column_names
+    assert Counter(map(tuple, got.collect())) == Counter(zip(*(c.to_pylist() for c in want.columns)))
+    assert got.where("n_links > 0").count() > 0
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_regions_count_each_link_once(spark, alike):
+    """Also where pivots split a region across the cluster, and where they don't and blocks do."""
+    rng = np.random.default_rng(8)
+    bases = [rng.integers(0, 1 << 60, 80) for _ in range(1 if alike else 6)]
+    sets = []
+    for k in range(150):
+        s = bases[k % len(bases)].copy()
+        s[: int(rng.integers(1, 14))] = rng.integers(0, 1 << 60, 1)
+        sets.append(sorted({int(x) for x in s}))
+    rows = [(7, k, len(s), s, 1 + k % 3) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "region long, sig long, n long, set array<long>, m long")
+    want = Counter()
+    for a, b in combinations(range(len(sets)), 2):
+        if 4 * len(set(sets[a]) & set(sets[b])) >= 3 * len(set(sets[a]) | set(sets[b])):
+            want[a] += rows[b][4]
+            want[b] += rows[a][4]
+    for most in (20, 60, 4096):
+        got = jaccard.found_in(df, most, 1 << 30).where("b IS NULL").groupBy("a").agg(F.sum("c").alias("c")).collect()
+        assert {r["a"]: r["c"] for r in got} == dict(want)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(k, k + 1) for k in range(50)] + [(100 + int(a), 100 + int(b)) for a, b in rng.integers(0, 60, (50, 2))] + [(-5, 300), (300, 301)]
