@@ -13,6 +13,7 @@ from ..sources import fixtures as X
 from ..sources.schema import PARAMS as P
 
 KEYS = ["step"]
+PROBES, CORR_SOURCES, CORR_DEPTH = 100, 260, 20
 SNAP = X.snapshots_sql()
 SMALL = X.snapshots_sql((0,))
 TRI = """tri AS (
@@ -231,6 +232,13 @@ def hausdorff_dim(spark, sf_dir):
     return rounded(M.hausdorff(e, G.sample(G.graph_nodes(e), 10)))
 
 
+@query(SQL["hausdorff_dim"].replace("LIMIT 10", f"LIMIT {PROBES}"))
+def hausdorff_dim_100(spark, sf_dir):
+    """With as many sources as the reference's snapshot analysis takes (analyse.py:16)."""
+    e = X.vec_edges(spark, sf_dir, 0.25)
+    return rounded(M.hausdorff(e, G.sample(G.graph_nodes(e), PROBES)))
+
+
 @query(f"""WITH {SNAP}, {TRI}, p AS (SELECT step, count(*) AS pairs FROM e GROUP BY step), t AS (SELECT step, count(*) AS loops FROM tri GROUP BY step)
 SELECT CAST(step AS BIGINT) AS step, pairs, 0.0e0 AS pair_error, loops, CASE WHEN loops > 0 THEN 0.0e0 END AS loop_error FROM p LEFT JOIN t USING (step)""")
 def gauge_invariance_loops(spark, sf_dir):
@@ -253,13 +261,20 @@ def _paths_sql(depth: int) -> str:
     return ", ".join(out)
 
 
-CORRELATOR = f"""WITH {PART2}, src0 AS ({SOURCES}), {_paths_sql(4)},
-sz AS (SELECT *, count(*) OVER (PARTITION BY source, d) AS size FROM seen4 WHERE d >= 1),
+def _correlator_sql(sources: str, depth: int) -> str:
+    return f"""WITH {PART2}, src0 AS ({sources}), {_paths_sql(depth)},
+sz AS (SELECT *, count(*) OVER (PARTITION BY source, d) AS size FROM seen{depth} WHERE d >= 1),
 g AS (SELECT d, ((i.psi_re * j.psi_re + i.psi_im * j.psi_im) * cos(phase) - (i.psi_re * j.psi_im - i.psi_im * j.psi_re) * sin(phase)) / (sqrt(i.psi_re * i.psi_re + i.psi_im * i.psi_im) * sqrt(j.psi_re * j.psi_re + j.psi_im * j.psi_im) + 1e-12) AS g
   FROM sz JOIN v i ON i.node_id = source JOIN v j ON j.node_id = sz.node_id WHERE size >= 5),
 c AS (SELECT d, avg(g) AS corr, count(*) AS n FROM g GROUP BY d)"""
 
 
+CORRELATOR = _correlator_sql(SOURCES, 4)
+# The reference's own sources and hops (main.py:56-57).
+WIDE_SOURCES = SOURCES.replace("LIMIT 5", f"LIMIT {CORR_SOURCES}")
+WIDE_CORRELATOR = _correlator_sql(WIDE_SOURCES, CORR_DEPTH)
+
+
 @query(CORRELATOR + f" SELECT CAST(d AS BIGINT) AS d, {q6('corr')} AS corr, n FROM c")
 def correlator_vs_distance(spark, sf_dir):
     v, e = _part2(spark, sf_dir)
@@ -273,6 +288,29 @@ def correlation_length(spark, sf_dir):
     return rounded(O.correlation_length(O.correlator(v, e, G.sample(G.graph_nodes(e), 5), 4)))
 
 
+def _wide_correlator(spark, sf_dir):
+    v, e = _part2(spark, sf_dir)
+    return O.correlator(v, e, G.sample(G.graph_nodes(e), CORR_SOURCES), CORR_DEPTH)
+
+
+@query(f"WITH {PART2}, src0 AS ({WIDE_SOURCES}), {_paths_sql(CORR_DEPTH)} SELECT source, CAST(d AS BIGINT) AS d, count(*) AS nodes FROM seen{CORR_DEPTH} GROUP BY ALL")
+def bfs_shells_260(spark, sf_dir):
+    v, e = _part2(spark, sf_dir)
+    dist = G.bfs(e, G.sample(G.graph_nodes(e), CORR_SOURCES), CORR_DEPTH)
+    return rounded(dist.groupBy("source", "d").agg(F.count("*").alias("nodes")))
+
+
+@query(WIDE_CORRELATOR + f" SELECT CAST(d AS BIGINT) AS d, {q6('corr')} AS corr, n FROM c")
+def correlator_vs_distance_260(spark, sf_dir):
+    return rounded(_wide_correlator(spark, sf_dir))
+
+
+@query(WIDE_CORRELATOR + f""", f AS (SELECT count(*) AS points, regr_slope(ln(abs(corr)), d) AS slope FROM c WHERE abs(corr) > 1e-6 AND d <= 12)
+SELECT points, {q6('CASE WHEN points >= 3 AND slope < -1e-9 THEN -1 / slope END')} AS xi FROM f""")
+def correlation_length_260(spark, sf_dir):
+    return rounded(O.correlation_length(_wide_correlator(spark, sf_dir)))
+
+
 PROFILE = "SELECT CAST(day(ts) AS BIGINT) AS t, user_id % 12 AS d, avg(value) AS value FROM events GROUP BY 1, 2"
 RADIUS = f"""pr AS ({PROFILE}),
 cum AS (SELECT t, d, sum(abs(value)) OVER (PARTITION BY t ORDER BY d) AS upto, sum(abs(value)) OVER (PARTITION BY t) AS total FROM pr),

@@ -36,6 +36,20 @@ def test_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_samples_are_the_references(spark):
+    """260 sources (here all nodes with an edge, if fewer) and 20 hops; 100 probes."""
+    from netweft.plans import graphs as P
+
+    v, e = P._part2(spark, SF)
+    nodes = e.select("src").union(e.select("dst")).distinct().count()
+    shells = catalog.QUERIES["bfs_shells_260"](spark, SF).collect()
+    assert len({r["source"] for r in shells}) == min(260, nodes)
+    assert max(r["d"] for r in shells) > 4
+    assert max(r["d"] for r in catalog.QUERIES["correlator_vs_distance_260"](spark, SF).collect()) > 4
+    few, many = (catalog.QUERIES[n](spark, SF).first()["points"] for n in ("hausdorff_dim", "hausdorff_dim_100"))
+    assert many > 5 * few
+
+
 def test_entry(spark):
     import __spark_entry__
 
