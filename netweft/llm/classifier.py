@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import tokens
 from .rules import ALL_STOP_WORDS
-from .shared import arrow_kernel, arrow_schema, cut, id_remainder
+from .shared import arrow_kernel, arrow_schema, cut, id_remainder, parsed
 
 STATISTICS = (
     "log_words", "log_bytes", "word_bytes", "word_bytes_deviation", "symbols", "bars", "exclamations", "capitals", "digits",
@@ -89,12 +90,15 @@ def statistics_of(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, x`` and columns to carry along."""
+
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         x = statistics_of(batch.column("text"))
-        yield {"doc_id": batch.column("doc_id"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS))}
+        yield {"doc_id": batch.column("doc_id"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS))} | {c: batch.column(c) for c in carry}
 
-    return arrow_kernel(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id long, x array<double>", rows)
+    schema = StructType(parsed("doc_id long, x array<double>").fields + [docs.schema[c] for c in carry])
+    return arrow_kernel(docs.select(*carry, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), schema, rows)
 
 
 class Features:
@@ -155,16 +159,16 @@ def isotonic(score: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> tuple[n
     return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row of ``docs``."""
-    stats = cut(statistics(docs, id_col, text_col), "classifier-statistics")
+def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for each row of ``docs``, and columns to carry along."""
+    stats = cut(statistics(docs, id_col, text_col, carry), "classifier-statistics")
     moments = stats.agg(*[f(F.col("x")[k]).alias(f"{n}{k}") for k in range(len(STATISTICS)) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean, deviation = (np.array([moments[f"{n}{k}"] or 0.0 for k in range(len(STATISTICS))]) for n in "ms")
     features = Features(mean, deviation)
     remainder = id_remainder(F.col("doc_id"), 3)
-    chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(remainder != 1)
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(remainder != 1)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(TRAIN)  # so small enough to broadcast
-    train = stats.join(F.broadcast(chosen), "doc_id").withColumn("fold", (remainder == 2).cast("int"))
+    train = stats.select("doc_id", "x").join(F.broadcast(chosen), "doc_id").withColumn("fold", (remainder == 2).cast("int"))
     train = cut(train.repartition(PARTS), "classifier-train")
     sums = normal_equations(train, features)
     count, ones = sum(s[-1, FEATURES] for s in sums), sum(s[-1, FEATURES + 1] for s in sums)
@@ -186,7 +190,14 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
 
     def score(batch: pa.RecordBatch) -> Iterator[dict]:
         s = features(_matrix(batch.column("x"))) @ weights
-        yield {"doc_id": batch.column("doc_id"), "score": np.clip(np.interp(s, *curve), 0.0, 1.0)}
+        yield {"doc_id": batch.column("doc_id"), "score": np.clip(np.interp(s, *curve), 0.0, 1.0)} | {c: batch.column(c) for c in carry}
+
+    schema = StructType(parsed("doc_id long, score double").fields + [stats.schema[c] for c in carry])
+    scored = arrow_kernel(stats, schema, score)
+    return scored.select(*carry, "doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
 
-    scored = arrow_kernel(stats, "doc_id long, score double", score)
-    return scored.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def keep(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted to have label 1, with their own columns; texts are not shuffled."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return classify(rows, labels, label_col, "id", "text", ("row",)).where("predicted = 1").select("row.*")

@@ -27,7 +27,8 @@ All links are found. Regions give their number for each set, weighted by the row
 stands for, and links that span their components; components follow by star contraction. Equal sets are
 one class from the start and cost one set; rows of one set link with each other.
 
-Shingles and sets are identified by 64-bit hashes. Sampling affects the order of pivots only.
+Shingles are identified by 64-bit hashes. Sets go by a 64-bit name; sets that share it, which a second
+independent name shows, go by that one. Sampling affects the order of pivots only.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; repeated
 rows are one class and linked; a null id takes the smallest id of its component, or null; texts of fewer than five words are one shingle;
@@ -48,6 +49,7 @@ from .components import components
 from .shared import arrow_kernel, arrow_schema, cut, discard
 
 WORDS, R = 5, 0.25
+SHARED_MOST = 1 << 16
 REGION, SAMPLE, COMMON_IN, COMMON_MOST = 32, 32_768, 2, 1 << 19
 REGION_SETS, REGION_HASHES, PIVOTS, LEAF = 4096, 1 << 22, 16, 256
 #: Sets of a region that hold a shingle from which on it is counted by matrix products, and columns of these.
@@ -56,12 +58,27 @@ BITMAP = 1 << 22
 _EPS = 1e-9
 
 
-def _signature(s: np.ndarray) -> int:
+#: Bits of a set's first name; fewer make tests meet sets of one name.
+NAME_BITS = 64
+
+
+def _hash(s: np.ndarray, factor: int) -> int:
     """A 64-bit hash of a set of hashes, as a signed number."""
-    x = tokens.mix(s * np.uint64(0xD6E8FEB86659FD93) + np.uint64(len(s))).sum(dtype=np.uint64, keepdims=True)
+    x = tokens.mix(s * np.uint64(factor) + np.uint64(len(s))).sum(dtype=np.uint64, keepdims=True)
     return int(tokens.mix(x + np.uint64(len(s))).view(np.int64)[0])
 
 
+def _names(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set. Sets whose first ones agree and second ones don't go by the second."""
+    return _hash(s, 0xD6E8FEB86659FD93) >> 64 - bits, _hash(s, 0x8CB92BA72F3D8DD7)
+
+
+def _name(s: np.ndarray, bits: int, shared: set[int]) -> int:
+    """The name that a set goes by: the second one if other sets have the same first one."""
+    x = _hash(s, 0xD6E8FEB86659FD93) >> 64 - bits
+    return _hash(s, 0x8CB92BA72F3D8DD7) if x in shared else x
+
+
 def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
@@ -85,7 +102,7 @@ def _common(docs: DataFrame) -> np.ndarray:
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         for block in tokens.blocks(batch.column("text")):
             sets = list(tokens.shingles(block, WORDS))
-            yield {"sig": [_signature(s) for s in sets], "h": _large_arrays(sets)}
+            yield {"sig": [_hash(s, 1) for s in sets], "h": _large_arrays(sets)}
 
     held = arrow_kernel(drawn, "sig long, h array<long>", rows).dropDuplicates(["sig"]).select(F.explode("h").alias("h"))
     counts = cut(held.groupBy("h").count().where(F.col("count") >= COMMON_IN), "jaccard-common")
@@ -110,28 +127,37 @@ def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, common) -> DataFrame:
-    """``doc_id, n, sig, pivots``: pivots of the first row in each task that has a set."""
-    schema = "doc_id long, n long, sig long, pivots array<long>"
+    """``doc_id, row, n, sig, other, pivots``: two names, and the pivots of the first row in each task that has a set."""
+    schema = "doc_id long, row long, n long, sig long, other long, pivots array<long>"
     target = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
             for block in tokens.blocks(batch.column("text")):
-                n, sig, pivots = [], [], []
+                n, names, pivots = [], [], []
                 for s in tokens.shingles(block, WORDS):
-                    x = _signature(s)
+                    x = _names(s, NAME_BITS)
                     n.append(len(s))
-                    sig.append(x)
+                    names.append(x)
                     pivots.append(s[:0] if x in seen else _ordered(s, common.value))
                     seen.add(x)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.rows.start, len(block.rows)), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), _large_arrays(pivots).cast(target.field("pivots").type)], schema=target)
+                ids = [batch.column(c).slice(block.rows.start, len(block.rows)) for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in range(2)), _large_arrays(pivots).cast(target.field("pivots").type)], schema=target)
 
     return docs.mapInArrow(run, schema)
 
 
+def _shared_names(rows: DataFrame) -> list[int]:
+    """First names that different sets have: among N sets about N**2 / 2**65, so none or few."""
+    found = rows.where("n > 0").groupBy("sig").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x != y").select("sig").take(SHARED_MOST + 1)
+    if len(found) > SHARED_MOST:
+        raise RuntimeError("too many sets share a 64-bit name")
+    return [r["sig"] for r in found]
+
+
 # -- regions of single-shingle pivots ---------------------------------------------------------------
 
 _PAIRS = "a long, b long, i int, j int, na long, nb long"
@@ -211,13 +237,13 @@ def _bitmap(sigs: DataFrame) -> np.ndarray:
     """A bitmap of BITMAP bits that has the low bits of all signatures: a filter of fixed size that lets all of them pass."""
     words = sigs.select(F.pmod("sig", F.lit(BITMAP)).alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 32 as int))")).alias("bits"))
     table = np.zeros(BITMAP // 32, np.uint32)
-    for r in words.collect():  # at most BITMAP / 32 rows
-        table[r["w"]] = r["bits"]
+    found = words.toArrow()  # at most BITMAP / 32 rows
+    table[found.column("w").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """``sig, n, set`` and the other columns of ``sigs`` for each signature in it."""
+def _sets(docs: DataFrame, sigs: DataFrame, shared: set[int]) -> DataFrame:
+    """``sig, n, set`` and the other columns of ``sigs`` for each name in it."""
     passing = docs.sparkSession.sparkContext.broadcast(_bitmap(sigs.select("sig")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +254,7 @@ def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
             for block in tokens.blocks(batch.column("text")):
                 out: list[tuple[int, np.ndarray]] = []
                 for s in tokens.shingles(block, WORDS):
-                    x = _signature(s)
+                    x = _name(s, NAME_BITS, shared)
                     if x not in seen and passing.value[x % BITMAP]:
                         seen.add(x)
                         out.append((x, s))
@@ -238,10 +264,12 @@ def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     schema = "sig long, n long, set array<long>"
     target = arrow_schema(docs.sparkSession, schema)
     found = docs.mapInArrow(run, schema).join(sigs, "sig")
-    return found.groupBy(*sigs.columns, "n").agg(F.first("set").alias("set"))
+    out = found.groupBy(*sigs.columns, "n").agg(F.first("set").alias("set"))
+    out.passing = passing
+    return out
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame, shared: set[int]) -> DataFrame:
     """The pairs ``a, b`` whose sets link: each set travels to its own place once and from there with each pair."""
     target = arrow_schema(docs.sparkSession, "a long, b long")
 
@@ -257,9 +285,11 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             if any(keep):
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], schema=target)
 
-    sets = _sets(docs, cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "jaccard-wanted"))
+    sets = _sets(docs, cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "jaccard-wanted"), shared)
     one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("one")), "a")
-    return one.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    out = one.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    out.passing = sets.passing
+    return out
 
 
 # -- regions of document pivots ---------------------------------------------------------------------
@@ -474,15 +504,25 @@ def _blocks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
 # -- the operator -----------------------------------------------------------------------------------
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` for each row; the last are the other rows within ``R``."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` for each row; the last are the other rows within ``R``.
+
+    With ``row_col``, an integer key of the rows, also ``row`` and ``is_first``, which is true for one
+    row of each component, that of the smallest id (null last) and key, and for rows in none.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_common(docs))
     with_pivots = cut(_signatures(docs, common), "jaccard-signatures")
-    rows = with_pivots.where(F.size("pivots") > 0).select("n", "sig", F.posexplode("pivots").alias("pos", "key"))
+    common.destroy()
+    taken = set(_shared_names(with_pivots))
+    named = with_pivots
+    if taken:
+        named = with_pivots.withColumn("sig", F.when(F.col("sig").isin(*taken), F.col("other")).otherwise(F.col("sig")))
+    rows = named.where(F.size("pivots") > 0).select("n", "sig", F.posexplode("pivots").alias("pos", "key"))
     first = cut(_regions(rows), "jaccard-pairs")
-    signed = cut(with_pivots.select("doc_id", "n", "sig"), "jaccard-ids")
+    signed = cut(named.select("doc_id", "row", "n", "sig"), "jaccard-ids")
     discard(with_pivots)
     members = cut(first.where("i IS NULL").select(F.col("a").alias("sig")).distinct(), "jaccard-members")
     near = _near(first)
@@ -492,7 +532,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # Level 2: the members, pivots rarest first.
     stands_for = cut(signed.where("n > 0").groupBy("sig").agg(F.count("*").alias("m")), "jaccard-rows")
-    again = cut(_sets(docs, members.join(stands_for, "sig")), "jaccard-sets")
+    found = _sets(docs, members.join(stands_for, "sig"), taken)
+    again = cut(found, "jaccard-sets")
+    found.passing.destroy()
     held = again.select("sig", "n", F.explode("set").alias("key"))
     shared = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     pivots = held.join(shared, "key").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("p"))
@@ -515,7 +557,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     placed = candidates.join(whole.select(F.col("sig").alias("a"), F.col("region").alias("of_a")), "a", "left").join(whole.select(F.col("sig").alias("b"), F.col("region").alias("of_b")), "b", "left")
     candidates = cut(placed.where("of_a IS NULL OR of_b IS NULL OR of_a != of_b").select("a", "b"), "jaccard-candidates")
     discard(first, second, again)
-    outer = cut(_linked(docs, candidates), "jaccard-links")
+    found = _linked(docs, candidates, taken)
+    outer = cut(found, "jaccard-links")
+    found.passing.destroy()
     classes = components(inner.where("b IS NOT NULL").select("a", "b").unionByName(outer))
     ends = outer.union(outer.select("b", "a")).toDF("sig", "other")
     weighted = ends.join(stands_for.withColumnRenamed("sig", "other"), "other").select("sig", F.col("m").alias("c"))
@@ -523,11 +567,29 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Sets that stand for one row and link with nothing need no row here.
     known = stands_for.join(others, "sig", "left").join(classes.select(F.col("node").alias("sig"), "root"), "sig", "left").where("m > 1 OR c IS NOT NULL")
 
-    rooted = signed.select("doc_id", "n", "sig").join(known, "sig", "left")
+    rooted = signed.join(known, "sig", "left")
     n_links = F.coalesce("c", F.lit(0)) + F.coalesce("m", F.lit(1)) - 1
-    rooted = rooted.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("root"), n_links.alias("n_links"))
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
+    rooted = rooted.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("root", "sig")).alias("root"), n_links.alias("n_links"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    least = rooted.where("n > 0").groupBy("root").agg(F.min(order).alias("least"))
+    joined = rooted.join(least, "root", "left")
+    is_first = (F.col("n") == 0) | order.eqNullSafe(F.col("least"))
+    return joined.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links",
+        *(["row", is_first.alias("is_first")] if row_col else []),
+    )
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component (smallest id), and those that are in none, with their own columns.
+
+    Rows get a key by being stored once; the decision is on it, so of rows that repeat an id or
+    everything one stays.
+    """
+    keyed = cut(docs.select(F.struct("*").alias("all"), F.monotonically_increasing_id().alias("row")), "jaccard-rows-in")
+    rows = keyed.select("row", F.col(f"all.{id_col}").alias("id"), F.col(f"all.{text_col}").alias("text"))
+    first = join(rows, "id", "text", "row").where("is_first").select(F.col("row").alias("r"))
+    return keyed.join(first, F.col("row") == F.col("r"), "left_semi").select("all.*")
 
 
 #: The same rows by pairs of all documents that share a shingle; for small tables.

@@ -6,11 +6,13 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Words of every contract: runs of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 OUT_ROWS, OUT_BYTES = 2000, 4 << 20
 
 _own_dir: list[str] = []
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -44,12 +48,33 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``cut`` stored and that nothing reads any more, and let finished shuffles go with them."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        where = context._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(t.sparkSession, t.stored_at)
     release(tables[0].sparkSession)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _stored:
+        _stored.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that are stored inside are removed at the end, but for those put in the list that is given.
+
+    An operator's result reads its stored tables, so whoever writes the result decides when they go:
+    ``with scratch(spark): operator(docs).write.parquet(there)``.
+    """
+    before, kept = len(_stored), []
+    yield kept
+    for path in _stored[before:]:
+        if path not in [t.stored_at for t in kept]:
+            _remove(spark, path)
+    release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver notice that it no longer refers to finished shuffles, whose files executors then remove."""
     gc.collect()
@@ -65,7 +90,7 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def arrow_kernel(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
+def arrow_kernel(df: DataFrame, schema: str | StructType, rows: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """mapInArrow whose kernel gives column dicts for parts of a batch."""
     target = arrow_schema(df.sparkSession, schema)
 
@@ -77,16 +102,14 @@ def arrow_kernel(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], It
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(_parse(spark, schema))
-
+    return to_arrow_schema(parsed(schema))
 
-def _parse(spark: SparkSession, schema: str):
-    from pyspark.sql.types import _parse_datatype_string
 
-    return _parse_datatype_string(schema)
+def parsed(schema: str | StructType) -> StructType:
+    return _parse_datatype_string(schema) if isinstance(schema, str) else schema
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = OUT_BYTES, most: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:

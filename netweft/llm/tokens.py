@@ -4,8 +4,9 @@ A word is a run of bytes other than space, tab, line feed, vertical tab, form fe
 return (``[^\\x20\\x09-\\x0D]+``); on UTF-8 that equals the same rule on characters. Texts are never
 cut: a block holds whole documents, at least one.
 
-Hashes are 64 bits wide. A word's hash is a polynomial over its bytes modulo 2**64, finalised by a
-mixing step, so equal words have equal hashes on every machine and in every run.
+Hashes are 64 bits wide. A word's eight-byte pieces are each mixed with their place and summed, and the
+sum is mixed with the word's length: no algebra of the bytes survives, words of up to eight bytes and equal length
+never share a hash, and equal words have equal hashes on every machine and in every run.
 """
 
 from __future__ import annotations
@@ -26,22 +27,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, _U)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(BLOCK + 1, n)
-            up, down = np.full(size, _R, _U), np.full(size, pow(_R, -1, 1 << 64), _U)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-        return self.up, self.down
-
-
-_powers = _Powers()
+#: Of a word's last eight bytes those that belong to it, by their number.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,11 +68,27 @@ class Block:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        up, down = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, _U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * up[: len(self.data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(_U))
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, _U)
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = self.data
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each position on
+        x = mix(eight[self.start].astype(_U) & _MASK[np.minimum(size, 8)] ^ _place(np.zeros(1, np.int64)))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            pieces = (size[long] - 1) >> 3  # those after the first
+            first = np.cumsum(pieces) - pieces
+            word = np.repeat(long, pieces)
+            k = np.arange(len(word)) - np.repeat(first, pieces) + 1
+            rest = eight[self.start[word] + 8 * k].astype(_U) & _MASK[np.minimum(size[word] - 8 * k, 8)]
+            x[long] += np.add.reduceat(mix(rest ^ _place(k)), first)
+        return mix(x + size.astype(_U))
+
+
+def _place(k: np.ndarray) -> np.ndarray:
+    """What a piece is mixed with by its place in the word."""
+    return mix(k.astype(_U) * _U(_R) + _U(0xA0761D6478BD642F))
 
 
 def blocks(texts: pa.Array, lower: bool = True, size: int = BLOCK) -> Iterator[Block]:
