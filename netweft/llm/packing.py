@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .shared import arrow_kernel, cut, slices
 
 CAPACITY = 2048
-#: Parts into which the ranks of one length are dealt.
-SALTS = 64
+#: Parts into which the ranks of one length are dealt: at least so many, and more where a part would have more pieces than this.
+SALTS, PART = 64, 1 << 20
 # Fixed value: the rule by which the vocabulary's byte-level scheme splits text before merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -43,13 +43,29 @@ _LONG_RUN = re.compile(rf"\s{{{BLANKS}}}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
+def _rank_engine_does(file: dict) -> bool:
+    """Whether a tokenizers file says what the rank engine does: byte-level splits, no other steps, merges in the order of their ids."""
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    if (model.get("type", "BPE"), before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) != ("BPE", "ByteLevel", False, True):
+        return False
+    if file.get("normalizer") or file.get("post_processor") or file.get("truncation") or file.get("padding"):
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return False
+    vocab, added = model["vocab"], {t["content"] for t in file.get("added_tokens", ())}
+    merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    # Every token is a byte or a merge, and a merge that comes later has a larger id.
+    return all(a < b for a, b in zip(merged, merged[1:])) and len(merged) + 256 == len(vocab.keys() - added)
+
+
 class Encoder:
     """Ids of a tokenizers file of the byte-level kind; a call takes special strings as ordinary text, ``with_added`` doesn't.
 
     The file's vocabulary orders its merges, so byte-pair merging by rank gives the ids that the
     ``tokenizers`` library gives; the rank engine of ``tiktoken`` needs a fifth of the time. Its splitter
     fails on white space of about a million characters, so texts with runs of at least ``BLANKS``, and
-    any others that it fails on, go to the library itself.
+    any others that it fails on, go to the library itself; so does everything if the file has another
+    scheme than the one that the rank engine follows.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -58,6 +74,7 @@ class Encoder:
         self.vocabulary, self.whole = vocabulary, None
         with open(vocabulary, encoding="utf-8") as f:
             file = json.load(f)
+        self.fast = _rank_engine_does(file)
         self.added = {t["content"]: t["id"] for t in file.get("added_tokens", ())}
         # Tokens that take in blanks or stand alone only are left to the library.
         self.plain = not any(t.get(k) for t in file.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized"))
@@ -66,8 +83,9 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-        ranks = {bytes(byte[c] for c in token): k for token, k in file["model"]["vocab"].items() if token not in self.added}
-        self.encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks = {bytes(byte[c] for c in token): k for token, k in file["model"]["vocab"].items() if token not in self.added} if self.fast else {}
+        if self.fast:
+            self.encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
@@ -77,7 +95,7 @@ class Encoder:
         """The same with the file's added tokens recognised, as the library does by default."""
         if self.split is None or not any(c in text for c in self.added):
             return self(text)
-        if not self.plain:
+        if not self.plain or not self.fast:
             return self.packed(self.by_library(text, added=True))
         parts = self.split(text)  # every second one is a token
         return self.packed([i for k, x in enumerate(parts) for i in ([self.added[x]] if k % 2 else self.ordinary(x))])
@@ -89,7 +107,7 @@ class Encoder:
         return ids.tobytes()
 
     def ordinary(self, text: str) -> list[int]:
-        if len(text) < BLANKS or not _LONG_RUN.search(text):
+        if self.fast and (len(text) < BLANKS or not _LONG_RUN.search(text)):
             try:
                 return self.encode(text)
             except BaseException as e:
@@ -109,6 +127,7 @@ class Encoder:
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece of each document's ids, the end token 0 included."""
     cached: list[Encoder] = []
+    count = [0]
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         if not cached:
@@ -123,7 +142,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
                 for k, start in enumerate(starts):
                     stop = first if not k else start + capacity
                     crc = zlib.crc32(data[4 * start : 4 * stop])
-                    out.append((doc_id, k, start, stop - start, crc, (crc ^ crc >> 16 ^ (doc_id or 0) * 2654435761 + k * 40503) % SALTS))
+                    # Equal rows too are dealt apart: the piece's place in its task enters.
+                    count[0] += 1
+                    out.append((doc_id, k, start, stop - start, crc, (crc ^ count[0] * 2654435761) & 0x7FFFFFFF))
             yield {n: [x[k] for x in out] for k, n in enumerate(("doc_id", "piece", "start", "length", "ids_crc32", "salt"))}
 
     return arrow_kernel(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), PIECES, rows)
@@ -197,25 +218,32 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (as ``pieces`` gives them) with ``sequence_id`` and ``offset``."""
     spark = parts.sparkSession
     parts = cut(parts, "pieces")
-    counts = parts.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows
-    base: dict[tuple[int, int], int] = {}
-    histogram: dict[int, int] = {}
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        base[r["length"], r["salt"]] = histogram.get(r["length"], 0)
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["count"]
-    plan, _ = best_fit_decreasing(histogram, capacity)
+    # At most capacity rows: of lengths with many pieces, the number of parts.
+    many = parts.groupBy("length").count().where(F.col("count") > SALTS * PART).toArrow().to_pydict()
+    salts = F.lit(SALTS)
+    if many["length"]:
+        salts = F.coalesce(F.create_map(*[F.lit(x) for n, c in zip(many["length"], many["count"], strict=True) for x in (n, -(-c // PART))])[F.col("length")], salts)
+    parts = parts.withColumn("salt", (F.col("salt") % salts).cast("int"))
+    # At most capacity * SALTS rows, and one for every PART pieces.
+    counts = parts.groupBy("length", "salt").count().toArrow().sort_by([("length", "ascending"), ("salt", "ascending")])
+    length, salt, count = (counts.column(c).to_numpy() for c in ("length", "salt", "count"))
+    firsts = np.flatnonzero(np.concatenate([[True], length[1:] != length[:-1]])) if len(length) else np.zeros(0, int)
+    before = np.cumsum(count) - count
+    base = before - np.repeat(before[firsts], np.diff(np.append(firsts, len(length))))
+    totals = np.add.reduceat(count, firsts) if len(firsts) else count
+    plan, _ = best_fit_decreasing(dict(zip(length[firsts].tolist(), totals.tolist(), strict=True)), capacity)
     # One row for each (length, salt): the rank its pieces start at, and the runs that its ranks meet.
-    runs: dict[int, list[tuple]] = {}
-    for length, *run in plan:
-        runs.setdefault(length, []).append(tuple(run))
-    table = []
-    for r in counts:
-        n, start = r["length"], base[r["length"], r["salt"]]
-        ranks = np.array([x[0] for x in runs[n]])
-        a, b = np.searchsorted(ranks, start, "right") - 1, np.searchsorted(ranks, start + r["count"], "left")
-        table.append((n, r["salt"], start, [x for x in runs[n][a:b]]))
-    schema = "length long, salt int, base long, runs array<struct<rank:long,k:long,bin:long,offset:long>>"
-    runs_df = spark.createDataFrame(table, schema)  # at most capacity * SALTS rows; pieces are dealt by the same columns, so only these rows move
+    runs = np.array(plan, np.int64).reshape(-1, 5)
+    falling, bounds, some = -runs[:, 0], [0], []
+    for n, start, c in zip(length.tolist(), base.tolist(), count.tolist(), strict=True):
+        a, b = np.searchsorted(falling, [-n, -n + 1])
+        x, y = np.searchsorted(runs[a:b, 1], start, "right") - 1, np.searchsorted(runs[a:b, 1], start + c, "left")
+        some.append(runs[a + x : a + y])
+        bounds.append(bounds[-1] + int(y - x))
+    flat = np.concatenate(some) if some else runs
+    struct = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(1, 5)], ["rank", "k", "bin", "offset"])
+    table = pa.table({"length": pa.array(length, pa.int64()), "salt": pa.array(salt, pa.int32()), "base": pa.array(base, pa.int64()), "runs": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), struct)})
+    runs_df = spark.createDataFrame(table)  # as many rows as counts has; pieces are dealt by the same columns, so only these rows move
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = parts.withColumn("n", F.row_number().over(within) - 1).join(runs_df, ["length", "salt"])
     rank = F.col("base") + F.col("n")
