@@ -4,7 +4,9 @@ Every document has a hash in [0, 2**60). A source takes each of its documents ``
 those whose hash lies below its threshold once more. The threshold comes from histograms, not from
 sorting: tokens are summed by source and hash bucket, the bucket in which the running sum crosses
 the budget is found, and only that boundary bucket is refined by further bits, level by level, until
-it holds a single hash.
+it holds a single hash. A histogram of 2**20 buckets a source at most is stored once a round; its sums by the
+first ten bits give the first level, the boundary's buckets in it the second, and the documents of
+the boundary bucket, a millionth of the source's, summed by their hashes the third.
 
 The rest that remains is smaller than the boundary document. ``FILLS`` further rounds offer it, in
 the same way, to the documents not chosen whose size is at most the rest; in the last of them the
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .shared import WORD, cut
 
 WEIGHTS, LIMIT, FILLS = (5, 2, 1), 3, 2
-#: Hash bits, and bits that each level of the histograms resolves.
-BITS, LEVEL_BITS = 60, 15
+#: Hash bits, and the leading ones that the two levels of the stored histogram resolve; the third level has all.
+BITS, FINE, COARSE = 60, 20, 10
 
 
 def hash60(doc_id: Column) -> Column:
@@ -57,62 +59,90 @@ def targets(sources: DataFrame) -> DataFrame:
     return w.select("source", "source_size", F.least(target, (LIMIT * F.col("source_size")).cast("double")).alias("target"))
 
 
+def _crossing(sums: DataFrame, budgets: DataFrame, at: str, start: str) -> DataFrame:
+    """Of ``source, {at}, size`` the first place where the running sum from ``start`` on crosses the budget.
+
+    ``budgets`` and place, what lies below and what it holds; place is null where nothing crosses, ``all`` then being the whole sum.
+    """
+    b = budgets.withColumnRenamed("source", "s")
+    joined = sums.join(b, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    summed = joined.withColumn("upto", F.col(start) + F.sum("size").over(Window.partitionBy("source").orderBy(at)))
+    columns = [c for c in budgets.columns if c != "source"]
+    first = F.min_by(F.struct(F.col(at).alias("at"), "upto", "size"), F.when(F.col("upto") > F.col("budget"), F.col(at)))
+    found = summed.groupBy("source", *columns).agg(first.alias("x"), F.max("upto").alias("all"))
+    return found.select("source", *columns, F.col("x.at").alias(at), (F.col("x.upto") - F.col("x.size")).alias("under"), F.col("x.size").alias("held"), "all")
+
+
 def _thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
     """``source, budget, threshold, got``: hashes below the threshold sum up to ``got``, at most the budget.
 
     ``nearest`` takes the boundary document too where that is nearer. Sources whose rows don't reach
     their budget get them all. ``rows``: source, h, size; ``budgets``: source, budget.
     """
-    # State per source: the first hash of the bucket to refine and the tokens that lie below it.
-    state = budgets.withColumn("low", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")).withColumn("boundary", F.lit(0).cast("long"))
-    for level in range(BITS // LEVEL_BITS):
-        shift = BITS - LEVEL_BITS * (level + 1)
-        inside = rows.join(state.select(F.col("source").alias("s"), "low"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        if level:
-            inside = inside.where(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("low", shift + LEVEL_BITS))
-        buckets = inside.groupBy("source", F.shiftleft(F.shiftright("h", shift), shift).alias("bucket")).agg(F.sum("size").alias("size"))
-        running = Window.partitionBy("source").orderBy("bucket")
-        joined = buckets.join(state.select(F.col("source").alias("s"), "budget", "below"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        summed = joined.withColumn("upto", F.col("below") + F.sum("size").over(running))
-        # The first bucket that crosses the budget, if one does; at the last level it holds one hash.
-        crossing = summed.groupBy("source", "budget").agg(
-            F.min_by(F.struct("bucket", "upto", "size"), F.when(F.col("upto") > F.col("budget"), F.col("bucket"))).alias("x"), F.max("upto").alias("all")
-        )
-        new = crossing.select(
-            "source", "budget", F.coalesce(F.col("x.bucket"), F.lit(1 << BITS)).alias("low"),
-            F.coalesce(F.col("x.upto") - F.col("x.size"), F.col("all")).alias("below"), F.coalesce(F.col("x.size"), F.lit(0)).alias("boundary"),
-        )
-        state = cut(new, "mix-level")
-        if not level:
-            finished = state.where(F.col("low") == F.lit(1 << BITS))
-            state = state.where(F.col("low") < F.lit(1 << BITS))
-    up = (F.col("below") + F.col("boundary") - F.col("budget") <= F.col("budget") - F.col("below")) & F.lit(nearest)
-    found = state.select("source", "budget", (F.col("low") + up.cast("long")).alias("threshold"), (F.col("below") + F.when(up, F.col("boundary")).otherwise(0)).alias("got"))
-    return found.unionByName(finished.select("source", "budget", F.col("low").alias("threshold"), F.col("below").alias("got")))
+    # One stored histogram serves the two upper levels; only rows of the boundary bucket are looked at again.
+    fine = cut(rows.groupBy("source", F.shiftright("h", BITS - FINE).alias("fine")).agg(F.sum("size").alias("size")), "mix-histogram")
+    coarse = fine.groupBy("source", F.shiftright("fine", FINE - COARSE).alias("coarse")).agg(F.sum("size").alias("size"))
+    one = _crossing(coarse, budgets.withColumn("zero", F.lit(0).cast("long")), "coarse", "zero")
+    reached = one.where("coarse IS NOT NULL").select("source", "budget", F.col("coarse").alias("c"), F.col("under").alias("below"))
+    inside = fine.join(reached.select(F.col("source").alias("s"), "c"), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("fine", FINE - COARSE) == F.col("c"))).select("source", "fine", "size")
+    two = _crossing(inside, reached.drop("c"), "fine", "below").select("source", "budget", "fine", F.col("under").alias("below"))
+    everything = one.where("coarse IS NULL").select("source", "budget", F.lit(None).cast("long").alias("fine"), F.col("all").alias("below"))
+    state = cut(two.unionByName(everything), "mix-level")
+    last = state.where("fine IS NOT NULL")
+    boundary = rows.join(last.select(F.col("source").alias("s"), "fine"), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", BITS - FINE) == F.col("fine"))).groupBy("source", "h").agg(F.sum("size").alias("size"))
+    three = _crossing(boundary, last.drop("fine"), "h", "below")
+    up = (F.col("under") + F.col("held") - F.col("budget") <= F.col("budget") - F.col("under")) & F.lit(nearest)
+    found = three.select("source", "budget", (F.col("h") + up.cast("long")).alias("threshold"), (F.col("under") + F.when(up, F.col("held")).otherwise(0)).alias("got"))
+    return found.unionByName(state.where("fine IS NULL").select("source", "budget", F.lit(1 << BITS).alias("threshold"), F.col("below").alias("got")))
+
+
+def _size(text_col: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _extra(upto: int) -> Column:
+    """Whether one of the first rounds takes a row once more: below its threshold and no larger than what that round could take."""
+    taken = F.lit(False)
+    for k in range(upto):
+        taken = taken | F.coalesce((F.col("h") < F.col(f"threshold_{k}")) & ((F.col("size") <= F.col(f"most_{k}")) if k else F.lit(True)), F.lit(False))
+    return (F.col("size") > 0) & taken
+
+
+def _decide(rows: DataFrame) -> DataFrame:
+    """Per source ``source, source_size, target, whole`` and each round's threshold and largest size."""
+    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = cut(sources.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
+    for k in range(1 + FILLS):
+        asking = plan.where("budget > 0")
+        mine = asking.withColumnRenamed("source", "s").select("s", "budget", *[c for c in plan.columns if c.startswith(("threshold_", "most_"))])
+        free = rows.join(mine, F.col("source").eqNullSafe(F.col("s"))).where(~_extra(k)).where("size > 0")
+        free = (free.where("size <= budget") if k else free).select("source", "h", "size")
+        rest = _thresholds(free, asking.select("source", "budget"), k == FILLS)
+        joined = plan.withColumnRenamed("budget", f"most_{k}").join(rest.select(F.col("source").alias("s"), F.col("threshold").alias(f"threshold_{k}"), (F.col("budget") - F.col("got")).alias("budget")), F.col("source").eqNullSafe(F.col("s")), "left")
+        # A source none of whose free documents fit has no threshold and is done.
+        plan = cut(joined.drop("s"), "mix-plan")
+    return plan
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    joined = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return joined.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + _extra(1 + FILLS).cast("long")).otherwise(0).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row: ``doc_id, size, source, source_size, target, repeats, taken``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), hash60(F.col(id_col)).alias("h")), "mix-sizes")
-    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    # Whole copies of everything, and what is left of the budget for the threshold.
-    plan = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    picked = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("extra", F.lit(0))
-    budgets = plan.where("budget > 0").select("source", "budget")
-    for k in range(1 + FILLS):
-        free = picked.where("extra = 0 AND size > 0").select("source", "h", "size").join(budgets.select(F.col("source").alias("s"), "budget"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        free = free.where("size <= budget") if k else free
-        rest = cut(_thresholds(free.select("source", "h", "size"), budgets, k == FILLS), "mix-round")
-        joined = picked.join(rest.select(F.col("source").alias("s"), "threshold", F.col("budget").alias("most")), F.col("source").eqNullSafe(F.col("s")), "left")
-        fits = F.col("size") <= F.col("most") if k else F.lit(True)
-        now = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("h") < F.col("threshold")) & fits
-        picked = joined.withColumn("extra", F.when(now, 1).otherwise(F.col("extra"))).drop("s", "threshold", "most")
-        # A source none of whose free documents fit has no threshold and is done.
-        budgets = rest.where("budget - got > 0").select("source", (F.col("budget") - F.col("got")).alias("budget"))
-    repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0)
-    return picked.select("doc_id", "size", "source", "source_size", "target", repeats.cast("long").alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), hash60(F.col(id_col)).alias("h")), "mix-sizes")
+    out = _with_plan(rows, _decide(rows.select("source", "size", "h")))
+    return out.select("doc_id", "size", "source", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, with their own columns, as often as the mix takes them; texts are not shuffled."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), hash60(F.col(id_col)).alias("h"))
+    plan = _decide(cut(rows.drop("row"), "mix-sizes"))
+    taken = _with_plan(rows, plan).where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    return taken.select("row.*")
 
 
 def _sql() -> str:

@@ -31,11 +31,13 @@ STOP_WORDS = {
 ALL_STOP_WORDS = sorted({w for words in STOP_WORDS.values() for w in words.split()})
 
 #: (statistic, least number of words for the rule to hold, lower bound, upper bound), bounds included; None: open.
+#: The bound on repeated lines lies between the labelled texts of the 10,000-document table: of 3,409 good ones none
+#: has more than a third (one repeated line of three), of 571 bad ones 74 have more than 0.4.
 RULES: list[tuple[str, int, float | None, float | None]] = [
     ("mean_word_chars", 0, 2.0, 15.0),
     ("symbol_ratio", 0, None, 0.1),
     ("stop_ratio", 50, 0.02, None),
-    ("dup_line_ratio", 0, None, 0.6),
+    ("dup_line_ratio", 0, None, 0.4),
     ("line_words", 0, 1.0, None),
 ]
 
