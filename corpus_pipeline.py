@@ -1,56 +1,48 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; ``run``
-writes each result as Parquet to the shared folder and reads it again. All stages but the last
-return the columns of documents.
+writes each result as Parquet to the shared folder and reads it again, and then removes what the stage
+stored on its way. All stages but the last return the columns of documents.
+
+Decisions are on rows, not on ids. Defined cases, for each stage: a null text is empty (and fails the
+quality rules); null, repeated and clashing ids are kept or dropped row by row; rows that are equal
+throughout get the same verdict, but for near duplicates, where one stays; an empty table gives an
+empty table; further columns of the input are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netweft.llm import classifier, jaccard, mixing, packing, rules
 from netweft.llm.queries import vocabulary
-from netweft.llm.shared import cut, documents
+from netweft.llm.shared import cut, documents, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _of(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of docs with what was decided on their id; an id may stand in several rows, a null id too."""
-    one = decisions.withColumnRenamed("doc_id", "decided")
-    return docs.join(one, F.col("doc_id").eqNullSafe(F.col("decided"))).drop("decided")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of predicted quality 1 stay."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    verdicts = classifier.classify(docs, labels)
-    # Rows of one id may have different texts: rejected ids are those that have no row of quality 1.
-    good = verdicts.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 1").select("doc_id")
-    return _of(docs, good).select(*COLUMNS)
+    """Rows of predicted quality 1 stay. A null or empty text is scored like any other; without labels of both kinds all rows or none stay."""
+    return classifier.keep(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the threshold table stay."""
-    return rules.keep(docs).select(*COLUMNS)
+    """Rows that pass the base rule and the threshold table stay; null and empty texts fail."""
+    return rules.keep(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; so do documents that are in none."""
-    first = jaccard.join(docs).where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    return _of(docs, first).select(*COLUMNS)
+    """Of each component the row of the smallest id stays (null last; of rows with that id any one); so do texts without words, which are in none."""
+    return jaccard.keep(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").cast("int").alias("repeats")).where("repeats > 0")
-    return _of(docs, taken).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*COLUMNS)
+    """Rows as often as the mix takes them; texts without words are never taken, a null source is a source."""
+    return mixing.sample(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in the training sequences."""
+    """Pieces of all rows with their places in the training sequences; a null text is one end token."""
     return packing.pack(packing.pieces(docs, vocabulary()))
 
 
@@ -69,5 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(*COLUMNS)
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as kept:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
     return docs
