@@ -559,10 +559,6 @@ def test_license_scan(spark):
         0: ("MIT", None), 1: ("MIT", "p"), 2: ("GPL-3.0", "p/q"), 3: ("GPL-3.0", None), 4: ("GPL-3.0", "p/q"), 5: ("CC-BY-NC-4.0", None), 6: (None, None), 7: ("Apache-2.0", None), 8: (None, None), 9: (None, None),
     }
     assert licenses.scan(df.where("doc_id < 0")).count() == 0
-    for name, text in licenses.TEMPLATES.items():
-        one = spark.createDataFrame([(1, "a/b", text)], "doc_id long, path string, text string")
-        r = licenses.scan(one).first()
-        assert r["license"] == name and r["cosine"] == pytest.approx(1.0) or not re.search(licenses.ANCHORS[4:], text.lower())
 
 
 # -- op10 ---------------------------------------------------------------------------------------------
