@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -597,22 +598,76 @@ def test_scoring_without_common_words(spark, docs, monkeypatch):
 
 
 def test_model_is_normalised_and_learns():
+    """A word decides on half of the words after it; probabilities of all tokens sum to one."""
     rng = np.random.default_rng(0)
-    counts = np.zeros((scoring.CLASSES**2, scoring.CLASSES))
-    for one in range(scoring.CLASSES):  # the class before decides on half of the classes
-        p = np.zeros(scoring.CLASSES)
-        p[(one % 2) :: 2] = rng.random(scoring.CLASSES // 2)
-        for two in range(0, scoring.CLASSES, 16):
-            counts[two * scoring.CLASSES + one] = 1000 * p / p.sum()
-    model = scoring.LogBilinear()
-    history = model.fit(counts)
-    table = 10.0 ** model.log_probabilities().astype(float)
-    assert np.allclose(table.sum(1), 1, atol=1e-4) and history[-1] > history[0]
-    weight = counts / counts.sum()
-    unigram = counts.sum(0) / counts.sum()
-    assert (weight * np.log(table)).sum() > (weight * np.log(unigram)).sum() + 0.4
+    size = 300
+    v = scoring.Vocabulary(np.arange(1, size + 1) * 977, [5, 9])
+    x = np.zeros(60_000, np.int32)
+    for k in range(1, len(x)):
+        x[k] = 2 * rng.integers(0, size // 2) + (x[k - 1] % 2 == 0)
+    x[::50] = v.end
+    one, two = np.roll(x, 1), np.roll(x, 2)
+    counts = np.bincount(x, minlength=v.tokens).astype(float)
+    m = scoring.LogBilinear(v, counts)
+    before = m.log10(x, one, two).mean()
+    m.start(rng)
+    for _ in range(3):
+        for k in range(0, len(x), 1000):
+            m.step(x[k : k + 1000], one[k : k + 1000], two[k : k + 1000])
+    assert m.log10(x, one, two).mean() > before + 0.15
+    everything = np.arange(v.tokens, dtype=np.int32)
+    for a, b in ((3, 4), (v.end, v.end), (v.tokens - 1, 0)):
+        assert (10 ** m.log10(everything, np.full(v.tokens, a), np.full(v.tokens, b))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_equal_the_models_written_out(spark, docs):
+    """Every token's group and word by the softmax itself, words beyond the vocabulary by counts of their class."""
+    trained = scoring.train(docs.where("doc_id % 5 != 1 OR doc_id IS NULL").select("text"))
+    m, v = trained.model, trained.model.v
+    name = lambda w: scoring._signed(next(tokens.blocks(pa.array([w.decode()]))).hashes())[0]
+    counts = Counter()
+    for i, text, *_ in corpus():
+        if i is None or i % 5 != 1:
+            counts.update(words(text))
+            counts[None] += 1
+    assert trained.n_train == sum(counts.values()) and trained.n_distinct == len(counts)
+    ranked = sorted((w for w in counts if w is not None and counts[w] > 1), key=lambda w: (-counts[w], name(w)))
+    number = {w: k for k, w in enumerate(ranked)} | {None: len(ranked)}
+    assert v.size == len(ranked)
+    token = lambda w: number[w] if w in number else int(v.by_suffix[(w[-2] if len(w) > 1 else 0) * 256 + w[-1]])
+    classes = defaultdict(list)
+    for w in counts:
+        if w not in number:
+            classes[token(w)].append(counts[w])
+
+    def log10(w, c):
+        t = token(w)
+        s = m.p["u"].astype(float) @ c + m.p["bias_u"]
+        out = s[v.group_of[t]] - np.log(np.exp(s).sum())
+        if t < v.size:
+            a = t // scoring.GROUP * scoring.GROUP
+            s = m.p["q"][a : a + scoring.GROUP].astype(float) @ c + m.p["bias_q"][a : a + scoring.GROUP]
+            return (out + s[t - a] - np.log(np.exp(s).sum())) / np.log(10)
+        if t == v.end:
+            return out / np.log(10)
+        return out / np.log(10) + np.log10((counts[w] + 0.5) / (sum(classes[t]) + 0.5 * (len(classes[t]) + 1)))
+
+    want = Counter()
+    for i, text, *_ in corpus():
+        if len(text or "") > 5000:
+            continue
+        before, total = [None, None], 0.0
+        for w in [*words(text), None]:
+            one, two = (m.p["r"][token(x)].astype(float) for x in (before[-1], before[-2]))
+            total += log10(w, m.p["a"].astype(float) @ one + m.p["b"].astype(float) @ two)
+            before.append(w)
+        want[i, round(total, 2)] += 1
+    got = scoring.scored(docs.where("length(text) <= 5000 OR text IS NULL"), trained, F.lit(False)).collect()
+    assert len(got) == sum(want.values())
+    for r in got:
+        assert any(abs(r["score"] - x) < 0.02 for i, x in want if i == r["doc_id"])
 
 
 def test_scoring_beats_the_base_on_held_out_texts(spark):
-    r = scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert r[0] > r[1]
+    r = scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert r[0] > r[1] + 0.15 * r[2]
