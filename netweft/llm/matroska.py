@@ -3,8 +3,13 @@
 ``store`` wraps each payload as one 8-bit PCM track in a Matroska file: EBML header, segment, info,
 tracks, clusters of laced simple blocks, and cues. ``packets`` parses any such file (variable-length
 element ids and sizes, unknown sizes of segment and cluster, simple blocks and block groups, all
-four kinds of lacing) into one row per frame with track, timestamp and byte range; ``cues`` gives
-the index. Both are DataFrame operators over a binary column.
+four kinds of lacing) into one row per frame with track, timestamp in ticks of the file's scale and byte
+range; ``cues`` gives the index, whose ``position`` equals the packets' ``cluster``, the byte at which the
+cluster's element begins. Both are DataFrame operators over a binary column.
+
+The first frame of a lace has its block's time. The others follow by the track's default duration, or, for
+uncompressed sound, by the bytes of the frames before them, or by their share of the block's duration;
+where a file states none of these, their time is null.
 
 Defined cases: a null or empty text has a payload of 64 zero bytes; repeated rows and null ids are
 kept row for row; an empty table gives an empty table; other columns of the input are not touched.
@@ -34,6 +39,7 @@ AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 VOID, CRC_32 = 0xEC, 0xBF
+DEFAULT_DURATION, BLOCK_DURATION, REFERENCE_BLOCK = 0x23E383, 0x9B, 0xFB
 
 #: Samples in a millisecond, so a unit of 64 bytes lasts one tick; bytes in a frame, frames in a block, blocks in a cluster.
 UNIT, FRAME, LACED, BLOCKS = 64, 512, 8, 16
@@ -41,7 +47,7 @@ UNIT, FRAME, LACED, BLOCKS = 64, 512, 8, 16
 
 class Packet(NamedTuple):
     track: int
-    timestamp: int
+    timestamp: int | None
     offset: int
     length: int
     cluster: int
@@ -135,6 +141,21 @@ def read_vint(data: bytes, at: int, marker: bool = False) -> tuple[int, int, boo
 _ENDS = {SEGMENT: {EBML, SEGMENT}, CLUSTER: {EBML, SEGMENT, CLUSTER, CUES, INFO, TRACKS}}
 
 
+class Track(NamedTuple):
+    """``frame`` is the default duration of a frame in nanoseconds, ``byte`` that of a byte of uncompressed sound; null if not stated."""
+
+    codec: str
+    rate: float
+    bits: int
+    channels: int = 1
+    frame: int | None = None
+
+    @property
+    def byte(self) -> float | None:
+        size = self.bits * self.channels / 8
+        return 1e9 / (self.rate * size) if self.codec.startswith("A_PCM/") and size and self.rate else None
+
+
 def _elements(data: bytes, at: int, end: int, within: int = 0) -> Iterator[tuple[int, int, int]]:
     """Id and bounds of the body of each element; an unknown size ends where its parent or its kind does."""
     while at < end:
@@ -193,26 +214,35 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
-def demux(data: bytes) -> tuple[list[Packet], list[Cue], dict[int, tuple[str, float, int]]]:
-    """Packets in file order, cues (positions from the file's start), and codec, rate and bits by track."""
+def _seconds(data: bytes, a: int, b: int) -> float:
+    return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
+
+
+def _track(data: bytes, at: int, end: int) -> tuple[int, Track]:
+    own = {k: (x, y) for k, x, y in _elements(data, at, end)}
+    audio = {k: (x, y) for k, x, y in _elements(data, *own[AUDIO])} if AUDIO in own else {}
+    number = lambda found, kind, default: _number(data, *found[kind]) if kind in found else default
+    rate = _seconds(data, *audio[SAMPLING_FREQUENCY]) if SAMPLING_FREQUENCY in audio else 8000.0
+    codec = data[slice(*own[CODEC_ID])].decode() if CODEC_ID in own else ""
+    return _number(data, *own[TRACK_NUMBER]), Track(codec, rate, number(audio, BIT_DEPTH, 0), number(audio, CHANNELS, 1), number(own, DEFAULT_DURATION, None))
+
+
+def demux(data: bytes) -> tuple[list[Packet], list[Cue], dict[int, Track]]:
+    """Packets in file order, cues (positions from the file's start), and the tracks by number."""
     packets: list[Packet] = []
     cues: list[Cue] = []
-    tracks: dict[int, tuple[str, float, int]] = {}
+    tracks: dict[int, Track] = {}
     for kind, a, b in _elements(data, 0, len(data)):
         if kind != SEGMENT:
             continue
+        scale, at = 1_000_000, a
         for top, c, d in _elements(data, a, b, SEGMENT):
             if top == CLUSTER:
-                _cluster(data, c, d, packets)
+                _cluster(data, at, c, d, packets, tracks, scale)
+            elif top == INFO:
+                scale = next((_number(data, x, y) for k, x, y in _elements(data, c, d) if k == TIMESTAMP_SCALE), scale)
             elif top == TRACKS:
-                for _, e, f in _elements(data, c, d):
-                    own = {k: (x, y) for k, x, y in _elements(data, e, f)}
-                    audio = {k: (x, y) for k, x, y in _elements(data, *own[AUDIO])} if AUDIO in own else {}
-                    rate = data[slice(*audio[SAMPLING_FREQUENCY])] if SAMPLING_FREQUENCY in audio else b""
-                    tracks[_number(data, *own[TRACK_NUMBER])] = (
-                        data[slice(*own[CODEC_ID])].decode(), struct.unpack(">d" if len(rate) == 8 else ">f", rate)[0] if rate else 8000.0,
-                        _number(data, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else 0,
-                    )
+                tracks.update(_track(data, e, f) for k, e, f in _elements(data, c, d) if k == TRACK_ENTRY)
             elif top == CUES:
                 for point, e, f in _elements(data, c, d):
                     if point != CUE_POINT:
@@ -223,32 +253,41 @@ def demux(data: bytes) -> tuple[list[Packet], list[Cue], dict[int, tuple[str, fl
                         if k == CUE_TRACK_POSITIONS:
                             own = {i: _number(data, p, q) for i, p, q in _elements(data, x, y)}
                             cues.append(Cue(time, own[CUE_TRACK], own[CUE_CLUSTER_POSITION] + a))
+            at = d
     return packets, cues, tracks
 
 
-def _cluster(data: bytes, at: int, end: int, packets: list[Packet]) -> None:
-    base, start = 0, at
+def _cluster(data: bytes, start: int, at: int, end: int, packets: list[Packet], tracks: dict[int, Track], scale: int) -> None:
+    base = 0
     for kind, a, b in _elements(data, at, end, CLUSTER):
         if kind == TIMESTAMP:
             base = _number(data, a, b)
         elif kind == SIMPLE_BLOCK:
-            _block(data, a, b, base, start, packets, None)
+            _block(data, a, b, base, start, packets, tracks, scale)
         elif kind == BLOCK_GROUP:
             inner = list(_elements(data, a, b))
+            lasts = next((_number(data, x, y) for k, x, y in inner if k == BLOCK_DURATION), None)
             for k, x, y in inner:
                 if k == BLOCK:
-                    _block(data, x, y, base, start, packets, True)
-
-
-def _block(data: bytes, at: int, end: int, base: int, cluster: int, packets: list[Packet], key: bool | None) -> None:
-    track, p, _ = read_vint(data, at)
-    (rel, flags) = struct.unpack_from(">hB", data, p)
-    lacing = flags >> 1 & 3
-    first = None
-    for k, (offset, size) in enumerate(_frames(data, p + 3, end, lacing)):
-        first = offset if first is None else first
-        # All frames but the first follow in time; constant-rate bytes give the distance in ticks.
-        packets.append(Packet(track, base + rel + (offset - first) // UNIT if k else base + rel, offset, size, cluster, at, lacing, bool(flags & 0x80) if key is None else key))
+                    _block(data, x, y, base, start, packets, tracks, scale, lasts, all(i != REFERENCE_BLOCK for i, _, _ in inner))
+
+
+def _block(data: bytes, at: int, end: int, base: int, cluster: int, packets: list[Packet], tracks: dict[int, Track], scale: int, lasts: int | None = None, key: bool | None = None) -> None:
+    number, p, _ = read_vint(data, at)
+    rel, flags = struct.unpack_from(">hB", data, p)
+    lacing, track = flags >> 1 & 3, tracks.get(number)
+    frames = _frames(data, p + 3, end, lacing)
+    for k, (offset, size) in enumerate(frames):
+        later: float | None = None
+        if not k:
+            later = 0
+        elif track and track.frame is not None:
+            later = k * track.frame / scale
+        elif track and track.byte is not None:
+            later = (offset - frames[0][0]) * track.byte / scale
+        elif lasts is not None:
+            later = k * lasts / len(frames)
+        packets.append(Packet(number, None if later is None else base + rel + int(later + 1e-6), offset, size, cluster, at, lacing, bool(flags & 0x80) if key is None else key))
 
 
 # -- DataFrame operators -------------------------------------------------------------------------
@@ -295,7 +334,7 @@ def feature(payload: bytes, found: list[Packet], index: list[Cue]) -> str:
     """Statistics of the samples and of the packet table."""
     x = np.frombuffer(payload, np.uint8)
     steps = np.abs(np.diff(x.astype(np.int16)))
-    return f"packets={len(found)};clusters={len(index)};ticks={len(payload) // UNIT};mean={x.mean():.4f};deviation={x.std():.4f};step={steps.mean():.4f};peak={int(x.max())};zero={int((x == 0).sum())}"
+    return f"packets={len(found)};clusters={len({p.cluster for p in found})};cues={len(index)};ticks={len(payload) // UNIT};mean={x.mean():.4f};deviation={x.std():.4f};step={steps.mean():.4f};peak={int(x.max())};zero={int((x == 0).sum())}"
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
