@@ -37,9 +37,23 @@ def graph_nodes(edges: DataFrame, keys: Keys = ()) -> DataFrame:
     return edges.select(*keys, F.explode(F.array("src", "dst")).alias("node_id")).distinct()
 
 
+def numbered(nodes: DataFrame, keys: Keys = ()) -> DataFrame:
+    """``[keys], node_id, index``: 0..N-1 in order within each graph, however large: ranges of nodes are numbered apart, from the sums of those before."""
+    ordered = nodes.select(*keys, "node_id").repartitionByRange(*keys, "node_id").sortWithinPartitions(*keys, "node_id")
+    ordered = checkpointed(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    sizes = ordered.groupBy("part").count().toArrow().sort_by("part").to_pydict()  # a row for each partition
+    before = [sum(sizes["count"][:k]) for k in range(len(sizes["count"]))]
+    offsets = nodes.sparkSession.createDataFrame(list(zip(sizes["part"], before, strict=True)), "part int, before long")
+    ranked = ordered.join(F.broadcast(offsets), "part").select(*keys, "node_id", (F.col("before") + F.col("place")).alias("index"))
+    if not keys:
+        return ranked
+    first = ranked.groupBy(*keys).agg(F.min("index").alias("first"))
+    return ranked.join(first, list(keys)).select(*keys, "node_id", (F.col("index") - F.col("first")).alias("index"))
+
+
 def remap(nodes: DataFrame, edges: DataFrame, keys: Keys = ()) -> tuple[DataFrame, DataFrame]:
     """Node ids as 0..N-1 in order within each graph; edges to unknown nodes are dropped."""
-    index = nodes.withColumn("index", F.row_number().over(Window.partitionBy(*keys).orderBy("node_id")) - 1)
+    index = numbered(nodes, keys)
     at = index.select(*keys, "node_id", "index")
     out = edges.join(at.withColumnsRenamed({"node_id": "src", "index": "i"}), [*keys, "src"]).join(at.withColumnsRenamed({"node_id": "dst", "index": "j"}), [*keys, "dst"])
     return index, out.drop("src", "dst").withColumnsRenamed({"i": "src", "j": "dst"})
@@ -213,7 +227,37 @@ def edge_diff(after: DataFrame, before: DataFrame, keys: Keys = ()) -> DataFrame
 def shared_nodes(one: DataFrame, two: DataFrame, least: int = 20) -> DataFrame:
     """Nodes in both snapshots; none if they share fewer than ``least``."""
     both = one.select("node_id").intersect(two.select("node_id"))
-    return both.withColumn("n", F.count("*").over(Window.partitionBy())).where(F.col("n") >= least).drop("n")
+    enough = both.agg(F.count("*").alias("n")).where(F.col("n") >= least)  # one row or none
+    return both.crossJoin(F.broadcast(enough)).drop("n")
+
+
+def alive(triangles: DataFrame, edges: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Those of stored triangles ``[keys], a, b, c`` whose three edges still exist."""
+    for i, j in ("ab", "bc", "ac"):
+        triangles = triangles.join(edges.select(*keys, F.col("src").alias(i), F.col("dst").alias(j)), [*keys, i, j], "left_semi")
+    return triangles
+
+
+def sampled_triangles(edges: DataFrame, keys: Keys = (), neighbours: int = 12, commons: int = 6, most: int = 1200, seed: int = 0) -> DataFrame:
+    """A sample of triangles ``[keys], a, b, c``: of each node at most ``neighbours`` larger ones by hash, of each such edge at most ``commons`` third nodes, ``most`` in all per graph.
+
+    Caps are the operator's point: loops are averaged over a sample of fixed size.
+    """
+    keys = list(keys)
+    by = lambda *c: F.xxhash64(F.lit(seed), *c)
+    one = Window.partitionBy(*keys, "src").orderBy(by("src", "dst"), "dst")
+    some = edges.select(*keys, "src", "dst").withColumn("k", F.row_number().over(one)).where(F.col("k") <= neighbours).select(*keys, F.col("src").alias("a"), F.col("dst").alias("b"))
+    ends = edges.select(*keys, "src", "dst")
+    third = some.join(ends.withColumnsRenamed({"src": "b", "dst": "c"}), [*keys, "b"]).join(ends.withColumnsRenamed({"src": "a", "dst": "c"}), [*keys, "a", "c"], "left_semi")
+    two = Window.partitionBy(*keys, "a", "b").orderBy(by("a", "b", "c"), "c")
+    third = third.withColumn("k", F.row_number().over(two)).where(F.col("k") <= commons).drop("k").withColumn("order", by("a", "b", "c"))
+    if not keys:
+        return third.orderBy("order", "a", "b", "c").limit(most).select("a", "b", "c")
+    # Of each graph the smallest in each of 64 parts, then in all.
+    part = Window.partitionBy(*keys, F.pmod("order", F.lit(64))).orderBy("order", "a", "b", "c")
+    third = third.withColumn("k", F.row_number().over(part)).where(F.col("k") <= most)
+    whole = Window.partitionBy(*keys).orderBy("order", "a", "b", "c")
+    return third.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= most).select(*keys, "a", "b", "c")
 
 
 def sample(nodes: DataFrame, k: int, seed: int = 0, column: str = "node_id") -> DataFrame:

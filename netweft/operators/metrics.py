@@ -102,6 +102,23 @@ def local_theta_energy(nodes: DataFrame, edges: DataFrame, p: dict[str, float],
     return edge_energies(nodes, edges, p, keys).join(summed, [*keys, "src", "dst"], "left").select(*keys, "src", "dst", (F.col("hop") + F.coalesce("x", F.lit(0.0))).alias("local_energy"))
 
 
+def local_toggle_energy(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, p: dict[str, float], keys: Keys = ()) -> DataFrame:
+    """``[keys], src, dst, local_energy`` of pairs: degree energies of both ends, the bias of all edges, and if the pair is an edge its own energies and those of its triangles."""
+    keys = list(keys)
+    d = G.degrees(edges, keys)
+    at = lambda end, name: d.select(*keys, F.col("node_id").alias(end), F.col("d").alias(name))
+    x = pairs.select(*keys, "src", "dst").join(at("src", "d_i"), [*keys, "src"], "left").join(at("dst", "d_j"), [*keys, "dst"], "left").na.fill(0, ["d_i", "d_j"])
+    own = edge_energies(nodes, edges, p, keys).select(*keys, "src", "dst", (F.col("hop") + F.col("stress")).alias("own"))
+    tri = triangle_energies(edges, p, keys).select(*keys, F.explode(F.array(*[F.struct(F.col(i).alias("src"), F.col(j).alias("dst")) for i, j in ("ab", "bc", "ac")])).alias("e"), "energy")
+    tri = tri.select(*keys, "e.src", "e.dst", "energy").groupBy(*keys, "src", "dst").agg(F.sum("energy").alias("tri"))
+    x = x.join(own, [*keys, "src", "dst"], "left").join(tri, [*keys, "src", "dst"], "left")
+    count = grouped(edges, keys).agg(F.count("*").alias("n_edges"))
+    x = x.join(F.broadcast(count), keys, "left") if keys else x.crossJoin(F.broadcast(count))  # a row per graph
+    present = F.when(F.col("own").isNotNull(), F.col("own") + F.coalesce("tri", F.lit(0.0))).otherwise(0.0)
+    energy = p["mu_deg2"] * (F.col("d_i") * F.col("d_i") + F.col("d_j") * F.col("d_j")) + p["lam_e"] * F.coalesce("n_edges", F.lit(0)) + present
+    return x.select(*keys, "src", "dst", energy.alias("local_energy"))
+
+
 def toggle_candidates(nodes: DataFrame, edges: DataFrame, p: dict[str, float], keys: Keys = ()) -> DataFrame:
     """For every pair with a common neighbour: whether an edge exists, dE of toggling it (theta 0 if new), proposal ratio and acceptance.
 

@@ -304,6 +304,19 @@ def verify(states: DataFrame, keys: list[str], n: int, relative: float = 1e-4) -
     return j.select(*keys, same.alias("matches"))
 
 
+def stitch(states: DataFrame, log: DataFrame, keys: list[str], n: int, interval: int, relative: float = 1e-4) -> DataFrame:
+    """``[keys], step``: of each run the latest stored step that a replay from the interval before it reproduces, falling back interval by interval; null if none does.
+
+    ``states``: rows of the stored chain (LOG and STATE columns) at multiples of ``interval``; ``log``: ``[keys], step, triangles, k_avg``.
+    """
+    target = log.select(*keys, F.col("step").alias("target"), F.col("triangles").alias("expected_triangles"), F.col("k_avg").alias("expected_k_avg"))
+    at = states.withColumn("target", F.col("step") + interval).join(target, [*keys, "target"])
+    # All segments are replayed at once: each is a chain of its own, and the latest that matches counts.
+    segments = at.withColumn("pad", F.col("step")).withColumn("targets", F.array("target")).drop("step")
+    same = verify(segments, [*keys, "target"], n, relative).where("matches").groupBy(*keys).agg(F.max("target").alias("step"))
+    return states.select(*keys).distinct().join(same, keys, "left")
+
+
 def heal(runs: DataFrame, keys: list[str], warm: int, cluster: int, rapid: int, long: int, temp: float = 0.6) -> DataFrame:
     """Damage and healing: evolve, remove all edges of two clusters, heal shortly and at length; per phase the edges and those that are new."""
 

@@ -15,7 +15,7 @@ from ..sources.schema import PARAMS as P
 KEYS = ["step"]
 PROBES, CORR_SOURCES, CORR_DEPTH = 100, 260, 20
 SNAP = X.snapshots_sql()
-SMALL = X.snapshots_sql((0,))
+LAST = X.snapshots_sql((X.ALL,))
 TRI = """tri AS (
   SELECT x.step, x.src AS a, x.dst AS b, z.dst AS c, x.theta AS t_ab, y.theta AS t_bc, z.theta AS t_ac
   FROM e x JOIN e y ON x.step = y.step AND x.dst = y.src JOIN e z ON z.step = x.step AND z.src = x.src AND z.dst = y.dst)"""
@@ -128,7 +128,25 @@ def total_action(spark, sf_dir):
     return rounded(M.total_action(*_snap(spark, sf_dir), P, KEYS))
 
 
-@query(f"""WITH {SMALL}, {DEG},
+VEC = """v AS (SELECT 0 AS step, vec_id AS node_id, CAST(embedding[1] AS DOUBLE) AS psi_re, CAST(embedding[2] AS DOUBLE) AS psi_im FROM embeddings),
+e AS (SELECT 0 AS step, src, dst, theta FROM ({edges}) x),
+arcs AS (SELECT * FROM e UNION ALL SELECT step, dst, src, -theta FROM e)"""
+VEC3, VEC25 = VEC.format(edges=X.VEC_DUCKDB.format(cos=0.3)), VEC.format(edges=X.VEC_DUCKDB.format(cos=0.25))
+
+# The same graph without a step, and its sources: those first by a fixed order.
+VECG = VEC3.replace("0 AS step, ", "").replace("SELECT step, ", "SELECT ")
+SOURCES = "SELECT node_id FROM v WHERE node_id IN (SELECT src FROM arcs) ORDER BY (node_id * 7919) % 1000003, node_id LIMIT 5"
+
+
+def _vec(spark, sf_dir, cos: float = 0.3):
+    return X.vec_nodes(spark, sf_dir), X.vec_edges(spark, sf_dir, cos)
+
+
+def _vec_step(spark, sf_dir):
+    return tuple(d.withColumn("step", F.lit(0)) for d in _vec(spark, sf_dir))
+
+
+@query(f"""WITH {VEC3}, {DEG},
 w AS (SELECT x.step, x.dst AS src, y.dst AS dst, count(*) AS centres FROM arcs x JOIN arcs y ON x.step = y.step AND x.src = y.src AND x.dst < y.dst GROUP BY ALL),
 p AS (SELECT w.*, e.theta IS NOT NULL AS present, coalesce(e.theta, 0) AS theta FROM w LEFT JOIN e ON e.step = w.step AND e.src = w.src AND e.dst = w.dst),
 t AS (SELECT p.step, p.src, p.dst, sum({P['beta']}e0 * (1 - cos(x.theta + y.theta - p.theta))) AS tri FROM p JOIN arcs x ON x.step = p.step AND x.src = p.src JOIN arcs y ON y.step = p.step AND y.src = x.dst AND y.dst = p.dst GROUP BY ALL),
@@ -142,7 +160,7 @@ d AS (
 SELECT CAST(step AS BIGINT) AS step, src, dst, centres, present AS "exists", {q6('delta')} AS delta, {q6('log_q')} AS log_q,
   {q6(f'CASE WHEN -delta / {P["temp"]}e0 + log_q >= 0 THEN 1.0e0 ELSE exp(-delta / {P["temp"]}e0 + log_q) END')} AS acceptance FROM d""")
 def toggle_delta_e(spark, sf_dir):
-    return rounded(M.toggle_candidates(*_snap(spark, sf_dir, (0,)), P, KEYS))
+    return rounded(M.toggle_candidates(*_vec_step(spark, sf_dir), P, KEYS))
 
 
 FORMAN = "fe AS (SELECT e.step, e.src, e.dst, 4 - x.d - y.d AS forman FROM e JOIN deg x ON x.step = e.step AND x.node_id = src JOIN deg y ON y.step = e.step AND y.node_id = dst)"
@@ -158,10 +176,6 @@ def forman_curvature(spark, sf_dir):
 REACH = """reach AS (
   SELECT step, node_id AS root, node_id FROM v
   UNION SELECT r.step, r.root, a.dst FROM reach r JOIN arcs a ON a.step = r.step AND a.src = r.node_id WHERE a.dst > r.root)"""
-VEC = """v AS (SELECT 0 AS step, vec_id AS node_id, CAST(embedding[1] AS DOUBLE) AS psi_re, CAST(embedding[2] AS DOUBLE) AS psi_im FROM embeddings),
-e AS (SELECT 0 AS step, src, dst, theta FROM ({edges}) x),
-arcs AS (SELECT * FROM e UNION ALL SELECT step, dst, src, -theta FROM e)"""
-VEC3, VEC25 = VEC.format(edges=X.VEC_DUCKDB.format(cos=0.3)), VEC.format(edges=X.VEC_DUCKDB.format(cos=0.25))
 # Every node reaches its component's smallest by a path over arbitrary nodes, so walks aren't restricted to larger ones here.
 COMP = """reach AS (
   SELECT node_id AS root, node_id FROM v
@@ -179,8 +193,7 @@ big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, co
 x AS (SELECT psi_re * psi_re + psi_im * psi_im AS rho, curvature FROM cv JOIN comp USING (node_id) WHERE component = (SELECT component FROM big))
 SELECT CAST(0 AS BIGINT) AS step, count(*) AS nodes, {q6('corr(curvature, rho)')} AS r FROM x""")
 def forman_density_corr(spark, sf_dir):
-    v, e = X.vec_nodes(spark, sf_dir).withColumn("step", F.lit(0)), X.vec_edges(spark, sf_dir, 0.3).withColumn("step", F.lit(0))
-    return rounded(O.density_curvature(v, e, KEYS))
+    return rounded(O.density_curvature(*_vec_step(spark, sf_dir), KEYS))
 
 
 def _bfs_sql(edges: str, sources: str, depth: int | None) -> str:
@@ -190,39 +203,31 @@ b AS (SELECT node_id AS source, node_id, 0 AS d FROM ({sources}) s UNION SELECT
 dist AS (SELECT source, node_id, min(d) AS d FROM b GROUP BY ALL)"""
 
 
-PART2 = f"""v AS ({X.PART_NODES}), e AS (SELECT src, dst, theta FROM ({X.part_edges_sql(2)}) x), arcs AS (SELECT * FROM e UNION ALL SELECT dst, src, -theta FROM e)"""
-SOURCES = "SELECT node_id FROM v WHERE node_id IN (SELECT src FROM arcs) ORDER BY (node_id * 7919) % 1000003, node_id LIMIT 5"
-
-
-def _part2(spark, sf_dir):
-    return X.part_nodes(spark, sf_dir), X.part_edges(spark, sf_dir, 2).select("src", "dst", "theta")
-
-
-@query(_bfs_sql(PART2, SOURCES, 4) + " SELECT source, CAST(d AS BIGINT) AS d, count(*) AS nodes FROM dist GROUP BY ALL")
+@query(_bfs_sql(VECG, SOURCES, 4) + " SELECT source, CAST(d AS BIGINT) AS d, count(*) AS nodes FROM dist GROUP BY ALL")
 def bfs_shells(spark, sf_dir):
-    v, e = _part2(spark, sf_dir)
+    v, e = _vec(spark, sf_dir)
     dist = G.bfs(e, G.sample(G.graph_nodes(e), 5), 4)
     return rounded(dist.groupBy("source", "d").agg(F.count("*").alias("nodes")))
 
 
-@query(_bfs_sql(PART2, "SELECT min(src) AS node_id FROM e", 4) + f""",
+@query(_bfs_sql(VECG, "SELECT min(src) AS node_id FROM e", 4) + f""",
 {DEG.replace('step, ', '')}, fe AS (SELECT src, dst, 4 - x.d - y.d AS forman FROM e JOIN deg x ON x.node_id = src JOIN deg y ON y.node_id = dst),
 cv AS (SELECT v.*, coalesce(c, 0) AS curvature FROM v LEFT JOIN (SELECT node_id, avg(forman) AS c FROM (SELECT unnest([src, dst]) AS node_id, CAST(forman AS DOUBLE) AS forman FROM fe) x GROUP BY ALL) y USING (node_id))
 SELECT g.d, count(dist.node_id) AS nodes, {q6('avg(psi_re * psi_re + psi_im * psi_im)')} AS mean_rho, {q6('avg(curvature)')} AS mean_curvature
 FROM (SELECT unnest(range(5)) AS d) g LEFT JOIN dist ON dist.d = g.d LEFT JOIN cv ON cv.node_id = dist.node_id GROUP BY g.d""")
 def radial_profile(spark, sf_dir):
-    v, e = _part2(spark, sf_dir)
+    v, e = _vec(spark, sf_dir)
     source = e.agg(F.min("src")).first()[0]
     return rounded(O.radial_profile(v, e, source, 4))
 
 
-@query(_bfs_sql(PART2, "SELECT node_id FROM v WHERE node_id < 10", 2) + " SELECT node_id, CAST(min(d) AS BIGINT) AS d FROM dist GROUP BY node_id")
+@query(_bfs_sql(VECG, SOURCES, 2) + " SELECT node_id, CAST(min(d) AS BIGINT) AS d FROM dist GROUP BY node_id")
 def khop_context(spark, sf_dir):
-    v, e = _part2(spark, sf_dir)
-    return rounded(G.khop(e, v.where("node_id < 10"), 2))
+    v, e = _vec(spark, sf_dir)
+    return rounded(G.khop(e, G.sample(G.graph_nodes(e), 5), 2))
 
 
-@query(_bfs_sql(VEC25.replace("SELECT 0 AS step, src", "SELECT src").replace("SELECT step, dst, src", "SELECT dst, src"), SOURCES.replace("LIMIT 5", "LIMIT 10"), 12) + f""",
+@query(_bfs_sql(VEC25.replace("0 AS step, ", "").replace("SELECT step, ", "SELECT "), SOURCES.replace("LIMIT 5", "LIMIT 10"), 12) + f""",
 sh AS (SELECT source, d, count(*) AS n FROM dist GROUP BY ALL),
 pt AS (SELECT * FROM (SELECT source, d, sum(n) OVER (PARTITION BY source ORDER BY d) AS total, max(d) OVER (PARTITION BY source) AS ecc FROM sh) x WHERE d >= 1 AND ecc >= 2),
 f AS (SELECT count(*) AS points, count(*) FILTER (WHERE d BETWEEN 2 AND 7) AS masked, regr_slope(ln(total), ln(d)) FILTER (WHERE d BETWEEN 2 AND 7) AS ins, regr_slope(ln(total), ln(d)) AS outs FROM pt)
@@ -239,8 +244,27 @@ def hausdorff_dim_100(spark, sf_dir):
     return rounded(M.hausdorff(e, G.sample(G.graph_nodes(e), PROBES)))
 
 
-@query(f"""WITH {SNAP}, {TRI}, p AS (SELECT step, count(*) AS pairs FROM e GROUP BY step), t AS (SELECT step, count(*) AS loops FROM tri GROUP BY step)
-SELECT CAST(step AS BIGINT) AS step, pairs, 0.0e0 AS pair_error, loops, CASE WHEN loops > 0 THEN 0.0e0 END AS loop_error FROM p LEFT JOIN t USING (step)""")
+def _turn(x: str) -> str:
+    return f"((({x}) * 48271 + 1) % 10007) / 10007.0e0 * (2 * pi()) - pi()"
+
+
+def _wrap(x: str) -> str:
+    return f"(({x}) + pi() - 2 * pi() * floor((({x}) + pi()) / (2 * pi())) - pi())"
+
+
+def _norm(x: str) -> str:
+    return f"(({x}) / (sqrt(ri * ri + ii * ii) * sqrt(rj * rj + ij * ij) + 1e-12))"
+
+
+@query(f"""WITH {SNAP}, {TRI}, {EV},
+g AS (SELECT step, count(*) AS loops, max(abs(cos(t_ab + t_bc - t_ac) - cos(u_ab + u_bc - u_ac))) AS loop_error FROM (
+  SELECT step, t_ab, t_bc, t_ac, {_wrap(f"t_ab + ({_turn('a')}) - ({_turn('b')})")} AS u_ab, {_wrap(f"t_bc + ({_turn('b')}) - ({_turn('c')})")} AS u_bc, {_wrap(f"t_ac + ({_turn('a')}) - ({_turn('c')})")} AS u_ac FROM tri) x GROUP BY step),
+q AS (SELECT step, src, dst, {_norm(HOP)} AS before FROM ev),
+w AS (
+  SELECT step, src, dst, ri * cos(x) - ii * sin(x) AS ri, ri * sin(x) + ii * cos(x) AS ii, rj * cos(y) - ij * sin(y) AS rj, rj * sin(y) + ij * cos(y) AS ij, {_wrap("theta + x - y")} AS theta
+  FROM (SELECT *, {_turn('src')} AS x, {_turn('dst')} AS y FROM ev) z),
+p AS (SELECT step, count(*) AS pairs, max(abs(before - after)) AS pair_error FROM q JOIN (SELECT step, src, dst, {_norm(HOP)} AS after FROM w) y USING (step, src, dst) GROUP BY step)
+SELECT CAST(step AS BIGINT) AS step, pairs, {q6('pair_error')} AS pair_error, loops, {q6('loop_error')} AS loop_error FROM p LEFT JOIN g USING (step)""")
 def gauge_invariance_loops(spark, sf_dir):
     return rounded(O.gauge_check(*_snap(spark, sf_dir), KEYS))
 
@@ -262,7 +286,7 @@ def _paths_sql(depth: int) -> str:
 
 
 def _correlator_sql(sources: str, depth: int) -> str:
-    return f"""WITH {PART2}, src0 AS ({sources}), {_paths_sql(depth)},
+    return f"""WITH {VECG}, src0 AS ({sources}), {_paths_sql(depth)},
 sz AS (SELECT *, count(*) OVER (PARTITION BY source, d) AS size FROM seen{depth} WHERE d >= 1),
 g AS (SELECT d, ((i.psi_re * j.psi_re + i.psi_im * j.psi_im) * cos(phase) - (i.psi_re * j.psi_im - i.psi_im * j.psi_re) * sin(phase)) / (sqrt(i.psi_re * i.psi_re + i.psi_im * i.psi_im) * sqrt(j.psi_re * j.psi_re + j.psi_im * j.psi_im) + 1e-12) AS g
   FROM sz JOIN v i ON i.node_id = source JOIN v j ON j.node_id = sz.node_id WHERE size >= 5),
@@ -277,25 +301,25 @@ WIDE_CORRELATOR = _correlator_sql(WIDE_SOURCES, CORR_DEPTH)
 
 @query(CORRELATOR + f" SELECT CAST(d AS BIGINT) AS d, {q6('corr')} AS corr, n FROM c")
 def correlator_vs_distance(spark, sf_dir):
-    v, e = _part2(spark, sf_dir)
+    v, e = _vec(spark, sf_dir)
     return rounded(O.correlator(v, e, G.sample(G.graph_nodes(e), 5), 4))
 
 
 @query(CORRELATOR + f""", f AS (SELECT count(*) AS points, regr_slope(ln(abs(corr)), d) AS slope FROM c WHERE abs(corr) > 1e-6)
 SELECT points, {q6('CASE WHEN points >= 3 AND slope < -1e-9 THEN -1 / slope END')} AS xi FROM f""")
 def correlation_length(spark, sf_dir):
-    v, e = _part2(spark, sf_dir)
+    v, e = _vec(spark, sf_dir)
     return rounded(O.correlation_length(O.correlator(v, e, G.sample(G.graph_nodes(e), 5), 4)))
 
 
 def _wide_correlator(spark, sf_dir):
-    v, e = _part2(spark, sf_dir)
+    v, e = _vec(spark, sf_dir)
     return O.correlator(v, e, G.sample(G.graph_nodes(e), CORR_SOURCES), CORR_DEPTH)
 
 
-@query(f"WITH {PART2}, src0 AS ({WIDE_SOURCES}), {_paths_sql(CORR_DEPTH)} SELECT source, CAST(d AS BIGINT) AS d, count(*) AS nodes FROM seen{CORR_DEPTH} GROUP BY ALL")
+@query(f"WITH {VECG}, src0 AS ({WIDE_SOURCES}), {_paths_sql(CORR_DEPTH)} SELECT source, CAST(d AS BIGINT) AS d, count(*) AS nodes FROM seen{CORR_DEPTH} GROUP BY ALL")
 def bfs_shells_260(spark, sf_dir):
-    v, e = _part2(spark, sf_dir)
+    v, e = _vec(spark, sf_dir)
     dist = G.bfs(e, G.sample(G.graph_nodes(e), CORR_SOURCES), CORR_DEPTH)
     return rounded(dist.groupBy("source", "d").agg(F.count("*").alias("nodes")))
 
@@ -337,18 +361,18 @@ def front_scaling(spark, sf_dir):
     return rounded(O.front_scaling(O.front_radius(_profile(spark, sf_dir))))
 
 
-@query(f"""WITH {X.snapshots_sql((0,))}, nb AS (SELECT src AS node_id, dst AS x FROM arcs UNION ALL SELECT DISTINCT src, src FROM arcs),
+@query(f"""WITH {VECG}, nb AS (SELECT src AS node_id, dst AS x FROM arcs UNION ALL SELECT DISTINCT src, src FROM arcs),
 pr AS (SELECT e.src AS u, e.dst AS v, a.x, b.x AS y FROM e JOIN nb a ON a.node_id = e.src JOIN nb b ON b.node_id = e.dst)
 SELECT u, v, x, y, CAST(CASE WHEN x = y THEN 0 WHEN EXISTS (SELECT 1 FROM arcs WHERE src = x AND dst = y) THEN 1
   WHEN EXISTS (SELECT 1 FROM arcs p JOIN arcs q ON p.dst = q.src WHERE p.src = x AND q.dst = y) THEN 2 ELSE 3 END AS BIGINT) AS cost FROM pr""")
 def local_cost_matrix(spark, sf_dir):
-    return rounded(G.local_distances(_snap(spark, sf_dir, (0,))[1].drop("step")))
+    return rounded(G.local_distances(_vec(spark, sf_dir)[1]))
 
 
-@query(f"""WITH {X.snapshots_sql((0, 2))} SELECT src, dst, {q6('theta')} AS theta FROM e x WHERE step = 2 AND NOT EXISTS (SELECT 1 FROM e y WHERE y.step = 0 AND y.src = x.src AND y.dst = x.dst)""")
+@query(f"""WITH {X.snapshots_sql((11, X.ALL))} SELECT src, dst, {q6('theta')} AS theta FROM e x WHERE step = {X.ALL} AND NOT EXISTS (SELECT 1 FROM e y WHERE y.step = 11 AND y.src = x.src AND y.dst = x.dst)""")
 def edge_diff(spark, sf_dir):
-    e = _snap(spark, sf_dir, (0, 2))[1]
-    return rounded(G.edge_diff(e.where("step = 2").drop("step"), e.where("step = 0").drop("step")))
+    e = _snap(spark, sf_dir, (11, X.ALL))[1]
+    return rounded(G.edge_diff(e.where(f"step = {X.ALL}").drop("step"), e.where("step = 11").drop("step")))
 
 
 @query(f"""WITH {SNAP}, s AS (SELECT step, src, dst, theta FROM e WHERE src % 3 = 0 AND dst % 3 = 0) SELECT CAST(step AS BIGINT) AS step, src, dst, {q6('theta')} AS theta FROM s""")
@@ -357,9 +381,9 @@ def induced_subgraph(spark, sf_dir):
     return rounded(G.induced(e, v.where("node_id % 3 = 0"), KEYS).select("step", "src", "dst", "theta"))
 
 
-@query(f"""WITH {SMALL}, x AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS k FROM (SELECT DISTINCT src AS node_id FROM arcs) y) SELECT i.k AS src, j.k AS dst, {q6('theta')} AS theta FROM e JOIN x i ON i.node_id = src JOIN x j ON j.node_id = dst""")
+@query(f"""WITH {LAST}, x AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS k FROM (SELECT DISTINCT src AS node_id FROM arcs) y) SELECT i.k AS src, j.k AS dst, {q6('theta')} AS theta FROM e JOIN x i ON i.node_id = src JOIN x j ON j.node_id = dst""")
 def id_remap(spark, sf_dir):
-    e = _snap(spark, sf_dir, (0,))[1].drop("step")
+    e = _snap(spark, sf_dir, (X.ALL,))[1].drop("step")
     return rounded(G.remap(G.graph_nodes(e), e)[1].select("src", "dst", "theta"))
 
 
@@ -381,17 +405,41 @@ def mean_loop(spark, sf_dir):
     return rounded(O.wilson_loops(_snap(spark, sf_dir)[1], KEYS).groupBy("step").agg(F.count("*").alias("loops"), F.avg("loop").alias("mean_loop")))
 
 
-@query(f"""WITH {X.snapshots_sql((0, 2))}, a AS (SELECT DISTINCT src AS node_id FROM arcs WHERE step = 0), b AS (SELECT DISTINCT src AS node_id FROM arcs WHERE step = 2), s AS (SELECT node_id FROM a INTERSECT SELECT node_id FROM b) SELECT node_id FROM s WHERE (SELECT count(*) FROM s) >= 20""")
+@query(f"""WITH {X.snapshots_sql((0, X.ALL))}, a AS (SELECT DISTINCT src AS node_id FROM arcs WHERE step = 0), b AS (SELECT DISTINCT src AS node_id FROM arcs WHERE step = {X.ALL}), s AS (SELECT node_id FROM a INTERSECT SELECT node_id FROM b) SELECT node_id FROM s WHERE (SELECT count(*) FROM s) >= 20""")
 def shared_nodes(spark, sf_dir):
-    e = _snap(spark, sf_dir, (0, 2))[1]
-    return rounded(G.shared_nodes(G.graph_nodes(e.where("step = 0")), G.graph_nodes(e.where("step = 2"))))
+    e = _snap(spark, sf_dir, (0, X.ALL))[1]
+    return rounded(G.shared_nodes(G.graph_nodes(e.where("step = 0")), G.graph_nodes(e.where(f"step = {X.ALL}"))))
 
 
 def _angle(spark, sf_dir):
-    e = X.part_edges(spark, sf_dir, 0)
+    e = X.part_edges(spark, sf_dir)
     return e.select("src", "dst", A.wrap(F.col("theta") * 3).alias("wrapped"), *[c.alias(n) for n, c in zip(("u_re", "u_im"), A.link(F.col("theta")), strict=True)])
 
 
-@query(f"""SELECT src, dst, {q6('x - 2 * pi() * floor(x / (2 * pi())) - pi()')} AS wrapped, {q6('cos(theta)')} AS u_re, {q6('sin(theta)')} AS u_im FROM (SELECT *, theta * 3 + pi() AS x FROM ({X.part_edges_sql(0)}) y) z""")
+@query(f"""SELECT src, dst, {q6('x - 2 * pi() * floor(x / (2 * pi())) - pi()')} AS wrapped, {q6('cos(theta)')} AS u_re, {q6('sin(theta)')} AS u_im FROM (SELECT *, theta * 3 + pi() AS x FROM ({X.part_edges_sql()}) y) z""")
 def link_variables(spark, sf_dir):
     return rounded(_angle(spark, sf_dir))
+
+
+@query(f"""WITH {VEC3}, {DEG}, {EV}, {TRI}, t AS (SELECT src, dst, sum(x) AS x FROM (SELECT unnest([a, b, a]) AS src, unnest([b, c, c]) AS dst, {P['beta']}e0 * (1 - cos(t_ab + t_bc - t_ac)) AS x FROM tri) y GROUP BY ALL),
+w AS (SELECT DISTINCT x.dst AS src, y.dst AS dst FROM arcs x JOIN arcs y ON x.src = y.src AND x.dst < y.dst)
+SELECT w.src, w.dst, {q6(f"{P['mu_deg2']}e0 * (i.d * i.d + j.d * j.d) + {P['lam_e']}e0 * (SELECT count(*) FROM e) + CASE WHEN ev.src IS NULL THEN 0 ELSE -{P['kappa']}e0 * ({HOP}) + {P['lam_g']}e0 * (ri * ri + ii * ii + rj * rj + ij * ij) + coalesce(t.x, 0) END")} AS local_energy
+FROM w JOIN deg i ON i.node_id = w.src JOIN deg j ON j.node_id = w.dst LEFT JOIN ev ON ev.src = w.src AND ev.dst = w.dst LEFT JOIN t ON t.src = w.src AND t.dst = w.dst""")
+def local_toggle_energy(spark, sf_dir):
+    v, e = _vec(spark, sf_dir)
+    return rounded(M.local_toggle_energy(v, e, G.wedges(e).withColumnsRenamed({"a": "src", "b": "dst"}), P))
+
+
+@query(f"""WITH {X.snapshots_sql((5, X.ALL))}, {TRI}, k AS (SELECT a, b, c FROM tri WHERE step = {X.ALL}) SELECT k.* FROM k JOIN (SELECT a, b, c FROM tri WHERE step = 5) o USING (a, b, c)""")
+def triangles_alive(spark, sf_dir):
+    """Triangles of all orders of which the snapshot of month 5 has all edges."""
+    e = _snap(spark, sf_dir, (5, X.ALL))[1]
+    return rounded(G.alive(G.triangles(e.where(f"step = {X.ALL}").select("src", "dst")), e.where("step = 5")))
+
+
+@query()
+def sampled_loops(spark, sf_dir):
+    """Mean Wilson loop over the reference's capped sample of triangles, per step; the caps are the operator."""
+    e = _snap(spark, sf_dir)[1]
+    tri = G.sampled_triangles(e, KEYS)
+    return rounded(O.wilson_loops_of(tri, e, KEYS).groupBy("step").agg(F.count("*").alias("loops"), F.avg("loop").alias("mean_loop")))

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-STEPS = (0, 2, 5)
+#: Steps of the growing network: four early months, and one after all orders.
+ALL = 1200
+STEPS = (0, 2, 5, 11, ALL)
 
 PART_NODES = """SELECT p_partkey AS node_id, p_size / 50e0 - 0.5e0 AS psi_re, ((p_partkey * 31) % 100) / 100e0 - 0.5e0 AS psi_im FROM part"""
 
 _PART_EDGES = """SELECT src, dst, CAST(birth AS INT) AS birth, ((src * 7919 + dst * 104729) % 6283) / 1000e0 - 3.1415e0 AS theta
 FROM (SELECT a.l_partkey AS src, b.l_partkey AS dst, min(12 * (year(o.o_orderdate) - 1995) + month(o.o_orderdate) - 1) AS birth
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-      JOIN orders o ON o.o_orderkey = a.l_orderkey {where}
+      JOIN orders o ON o.o_orderkey = a.l_orderkey
       GROUP BY a.l_partkey, b.l_partkey) x"""
 
 
-def part_edges_sql(months: int | None = None) -> str:
-    """Parts bought together up to a month; the month bounds the orders before the self-join, which keeps each pair's first month."""
-    return _PART_EDGES.format(where="" if months is None else f"WHERE 12 * (year(o.o_orderdate) - 1995) + month(o.o_orderdate) - 1 <= {months}")
+def part_edges_sql() -> str:
+    """Parts bought together in any order, with the first month of that."""
+    return _PART_EDGES
 
 
 _RUN_LOG = """SELECT user_id AS run_id, CAST((user_id % 2) + 1 AS BIGINT) AS engine_id, CAST(100 * power(2, user_id % 5) AS BIGINT) AS n, 1000 + user_id AS seed,
@@ -36,10 +41,6 @@ FROM (SELECT user_id, ts, rn, {epochs} AS elapsed_sec,
 RUN_LOG_DUCKDB = _RUN_LOG.format(epochs="(epoch_us(ts) - epoch_us(t0)) / 1000000e0")
 RUN_LOG_SPARK = _RUN_LOG.format(epochs="(unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(CAST(t0 AS TIMESTAMP))) / 1000000e0")
 
-VEC_SPARK = """WITH w AS (SELECT vec_id, e, sqrt(aggregate(e, 0D, (z, x) -> z + x * x)) AS nrm
-           FROM (SELECT vec_id, transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings) v)
-SELECT a.vec_id AS src, b.vec_id AS dst, ((a.vec_id * 7919 + b.vec_id * 104729) % 6283) / 1000e0 - 3.1415e0 AS theta FROM (SELECT /*+ REPARTITION(32) */ * FROM w) a JOIN w b ON a.vec_id < b.vec_id
-WHERE aggregate(zip_with(a.e, b.e, (x, y) -> x * y), 0D, (z, x) -> z + x) / (a.nrm * b.nrm) > {cos}D"""
 VEC_DUCKDB = """SELECT a.vec_id AS src, b.vec_id AS dst, ((a.vec_id * 7919 + b.vec_id * 104729) % 6283) / 1000e0 - 3.1415e0 AS theta FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > {cos}e0"""
 
@@ -54,22 +55,20 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PART_NODES)
 
 
-def part_edges(spark: SparkSession, sf_dir: str, months: int | None = None) -> DataFrame:
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "lineitem", "orders")
-    return spark.sql(part_edges_sql(months))
+    return spark.sql(part_edges_sql())
 
 
 def snapshots(spark: SparkSession, sf_dir: str, steps: tuple[int, ...] = STEPS) -> tuple[DataFrame, DataFrame]:
     """A growing network: nodes and edges keyed by step."""
     frame = spark.createDataFrame([(s,) for s in steps], "step int")
     nodes = part_nodes(spark, sf_dir).crossJoin(frame)
-    edges = part_edges(spark, sf_dir, max(steps)).join(frame, on=_born()).select("step", "src", "dst", "theta")
+    edges = part_edges(spark, sf_dir).join(frame, on=_born()).select("step", "src", "dst", "theta")
     return nodes, edges
 
 
 def _born():
-    from pyspark.sql import functions as F
-
     return F.col("birth") <= F.col("step")
 
 
@@ -78,7 +77,7 @@ def snapshots_sql(steps: tuple[int, ...] = STEPS) -> str:
     values = ", ".join(f"({s})" for s in steps)
     return f"""steps(step) AS (VALUES {values}),
 v AS (SELECT step, n.* FROM ({PART_NODES}) n, steps),
-e AS (SELECT step, src, dst, theta FROM ({part_edges_sql(max(steps))}) x JOIN steps ON birth <= step),
+e AS (SELECT step, src, dst, theta FROM ({part_edges_sql()}) x JOIN steps ON birth <= step),
 arcs AS (SELECT * FROM e UNION ALL SELECT step, dst, src, -theta FROM e)"""
 
 
@@ -87,10 +86,32 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RUN_LOG_SPARK)
 
 
+#: Vectors of a block: two blocks' cosines are one matrix product of bounded size.
+BLOCK = 2048
+
+
 def vec_edges(spark: SparkSession, sf_dir: str, cos: float = 0.25) -> DataFrame:
-    """Embedding pairs above a cosine, stored: for the fixture's few hundred or thousand vectors."""
-    tables(spark, sf_dir, "embeddings")
-    return checkpointed(spark.sql(VEC_SPARK.format(cos=cos)))
+    """Embedding pairs above a cosine, stored. Exact, by matrix products of blocks of vectors; only pairs above the cosine leave them."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    blocks = max(1, -(-v.count() // BLOCK))
+    mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("x")
+    dealt = v.select("vec_id", "embedding", mine).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("vec_id", "embedding", "x", F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = np.array(pdf["embedding"].tolist(), float)
+        e /= np.linalg.norm(e, axis=1, keepdims=True)
+        ids, x = pdf["vec_id"].to_numpy(), pdf["x"].to_numpy()
+        one, two = x == pdf["low"].iloc[0], x == pdf["high"].iloc[0]
+        i, j = np.nonzero(e[one] @ e[two].T > cos)
+        a, b = ids[one][i], ids[two][j]
+        if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
+            a, b = a[a < b], b[a < b]
+        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b)})
+
+    pairs = dealt.groupBy("low", "high").applyInPandas(near, "src long, dst long")
+    theta = (F.col("src") * 7919 + F.col("dst") * 104729) % 6283 / 1000 - 3.1415
+    return checkpointed(pairs.select("src", "dst", theta.alias("theta")))
 
 
 def vec_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

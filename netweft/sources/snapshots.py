@@ -154,6 +154,57 @@ def append_metrics(new: DataFrame, path: str, keys: list[str]) -> None:
     checkpointed(old.unionByName(fresh, allowMissingColumns=True)).write.mode("overwrite").parquet(path)
 
 
+def append_log(rows: DataFrame, folder: str, start: dict[str, object] | None = None, completed: str | None = None) -> None:
+    """Append rows of a run's log as a text file of their own in ``folder``; the first has metadata and header, the last one may end with the completion line.
+
+    Files are named by their first step, so a reader of the folder gets the rows in order, and an append that is repeated replaces its own file.
+    """
+    spark, step = rows.sparkSession, rows.agg(F.min("step")).first()[0]
+    line = F.concat_ws(",", *[F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in S.RUN_LOG])
+    lines = rows.select(F.lit(1).alias("part"), F.col("step").alias("at"), line.alias("value"))
+    head = []
+    if start is not None:
+        head += ["# " + ",".join(f"{k}={v}" for k, v in start.items()), ",".join(f.name for f in S.RUN_LOG)]
+    extra = [(0, k, x) for k, x in enumerate(head)] + ([(2, 0, f"# COMPLETED at {completed}")] if completed else [])
+    if extra:
+        lines = lines.unionByName(spark.createDataFrame(extra, "part int, at long, value string"))
+    name = f"{step if step is not None else 'end'}.csv".rjust(19, "0")
+    being = f"{folder.rstrip('/')}/_{name}"
+    lines.orderBy("part", "at").select("value").coalesce(1).write.mode("overwrite").text(being)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(being).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(f"{folder.rstrip('/')}/{name}"), False)
+    fs.rename(fs.globStatus(path(f"{being}/part-*"))[0].getPath(), path(f"{folder.rstrip('/')}/{name}"))
+    fs.delete(path(being), True)
+
+
+def drop_nan(metrics: DataFrame, column: str) -> DataFrame:
+    """Rows whose metric is neither null nor NaN."""
+    return metrics.na.drop(subset=[column])
+
+
+def earliest(files: DataFrame) -> DataFrame:
+    """Per engine and size the time of the first written snapshot, as label."""
+    return files.groupBy("engine", "n").agg(F.min("mtime").alias("first")).withColumn("label", F.date_format("first", "yyyy-MM-dd HH:mm"))
+
+
+# -- alignment cache --------------------------------------------------------------------------------
+
+
+def write_alignment(aligned: DataFrame, path: str) -> None:
+    """Append aligned embeddings ``run_id, step, node_id, x`` by step; a step that is written again is replaced."""
+    aligned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
+
+
+def read_alignment(spark: SparkSession, path: str, step: int | None = None) -> DataFrame:
+    """The stored alignment, or of each run its latest step before ``step``; only that step's partitions are read."""
+    stored = spark.read.parquet(path)
+    if step is None:
+        return stored
+    last = stored.where(F.col("step") < step).groupBy("run_id").agg(F.max("step").alias("step"))
+    return stored.join(F.broadcast(last), ["run_id", "step"]) if last.count() < 1_000_000 else stored.join(last, ["run_id", "step"])
+
+
 def write_report(lines: DataFrame, path: str, column: str = "line") -> None:
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 

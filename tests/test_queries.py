@@ -40,7 +40,7 @@ def test_samples_are_the_references(spark):
     """260 sources (here all nodes with an edge, if fewer) and 20 hops; 100 probes."""
     from netweft.plans import graphs as P
 
-    v, e = P._part2(spark, SF)
+    v, e = P._vec(spark, SF)
     nodes = e.select("src").union(e.select("dst")).distinct().count()
     shells = catalog.QUERIES["bfs_shells_260"](spark, SF).collect()
     assert len({r["source"] for r in shells}) == min(260, nodes)
@@ -53,5 +53,5 @@ def test_samples_are_the_references(spark):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 3
+    assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
