@@ -62,29 +62,26 @@ def remap(nodes: DataFrame, edges: DataFrame, keys: Keys = ()) -> tuple[DataFram
 def triangles(edges: DataFrame, keys: Keys = ()) -> DataFrame:
     """``[keys], a, b, c[, t_ab, t_bc, t_ac]`` with a < b < c, each once.
 
-    Edges point from the end of lower degree (then smaller id) to the other, so a hub starts few
-    wedges and their number is bounded by the edge count to the power 1.5.
+    Edges point from the end of lower degree (then smaller id) to the other, so each node has few
+    ends, at most the root of twice the edge count. Every edge meets the arrays of both its ends' ends;
+    what they share closes a triangle. Arrays add up to at most the edge count to the power 1.5.
     """
+    keys = list(keys)
     d = degrees(edges, keys)
-    theta = ["theta"] if "theta" in edges.columns else []
-    rank = edges.join(d.withColumnsRenamed({"node_id": "src", "d": "ds"}), [*keys, "src"]).join(d.withColumnsRenamed({"node_id": "dst", "d": "dd"}), [*keys, "dst"])
+    rank = edges.select(*keys, "src", "dst").join(d.withColumnsRenamed({"node_id": "src", "d": "ds"}), [*keys, "src"]).join(d.withColumnsRenamed({"node_id": "dst", "d": "dd"}), [*keys, "dst"])
     up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    directed = rank.select(*keys, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("w"), *theta)
-    one = directed.select(*keys, "u", F.col("w").alias("x"), *[F.col(t).alias("t1") for t in theta])
-    two = directed.select(*keys, "u", F.col("w").alias("y"), *[F.col(t).alias("t2") for t in theta])
-    wedges = one.join(two, [*keys, "u"]).where("x < y")
-    closing = edges.select(*keys, F.col("src").alias("x"), F.col("dst").alias("y"), *[F.col(t).alias("t3") for t in theta])
-    found = wedges.join(closing, [*keys, "x", "y"])
-    u, x, y = F.col("u"), F.col("x"), F.col("y")
-    out = {"a": F.least(u, x, y), "c": F.greatest(u, x, y)}
-    out["b"] = u + x + y - out["a"] - out["c"]
-    if theta:
-        # t1, t2, t3 belong to {u,x}, {u,y}, {x,y}; each is that of its smaller end towards the larger.
-        t = lambda p, q: F.coalesce(
-            F.when((F.least(u, x) == p) & (F.greatest(u, x) == q), F.col("t1")), F.when((F.least(u, y) == p) & (F.greatest(u, y) == q), F.col("t2")), F.col("t3")
-        )
-        out |= {"t_ab": t(out["a"], out["b"]), "t_bc": t(out["b"], out["c"]), "t_ac": t(out["a"], out["c"])}
-    return found.select(*keys, *[e.alias(n) for n, e in out.items()])
+    directed = rank.select(*keys, F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("w"))
+    ends = directed.groupBy(*keys, "u").agg(F.collect_list("w").alias("ends"))
+    met = directed.join(ends, [*keys, "u"]).join(ends.withColumnsRenamed({"u": "w", "ends": "others"}), [*keys, "w"])
+    found = met.select(*keys, "u", "w", F.explode(F.array_intersect("ends", "others")).alias("x"))
+    u, w, x = F.col("u"), F.col("w"), F.col("x")
+    out = {"a": F.least(u, w, x), "c": F.greatest(u, w, x)}
+    out["b"] = u + w + x - out["a"] - out["c"]
+    found = found.select(*keys, *[e.alias(n) for n, e in out.items()])
+    if "theta" in edges.columns:
+        for i, j in ("ab", "bc", "ac"):
+            found = found.join(edges.select(*keys, F.col("src").alias(i), F.col("dst").alias(j), F.col("theta").alias(f"t_{i}{j}")), [*keys, i, j])
+    return found
 
 
 def node_triangles(edges: DataFrame, keys: Keys = ()) -> DataFrame:
