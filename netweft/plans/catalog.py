@@ -1,6 +1,6 @@
 """All queries of the network engine and their SQL."""
 
-from . import graphs, kernels, runs
+from . import files, graphs, kernels, runs
 
-QUERIES = {**graphs.QUERIES, **runs.QUERIES, **kernels.QUERIES}
-SQL = {**graphs.SQL, **runs.SQL, **kernels.SQL}
+QUERIES = {**graphs.QUERIES, **runs.QUERIES, **kernels.QUERIES, **files.QUERIES}
+SQL = {**graphs.SQL, **runs.SQL, **kernels.SQL, **files.SQL}

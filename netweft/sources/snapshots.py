@@ -169,15 +169,31 @@ def append_log(rows: DataFrame, folder: str, start: dict[str, object] | None = N
     if extra:
         lines = lines.unionByName(spark.createDataFrame(extra, "part int, at long, value string"))
     name = f"{step if step is not None else 'end'}.csv".rjust(19, "0")
-    being = f"{folder.rstrip('/')}/_{name}"
-    lines.orderBy("part", "at").select("value").coalesce(1).write.mode("overwrite").text(being)
+    _as_file(lines.orderBy("part", "at").select("value"), f"{folder.rstrip('/')}/{name}", "text")
+
+
+def _as_file(rows: DataFrame, target: str, kind: str) -> None:
+    """Rows as one file of that name, in any store that Spark writes: written beside it, then renamed; a retry replaces it."""
+    spark = rows.sparkSession
+    folder, name = target.rsplit("/", 1)
+    being = f"{folder}/_{name}"
+    rows.coalesce(1).write.mode("overwrite").format(kind).options(**({"header": True} if kind == "csv" else {})).save(being)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(being).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(f"{folder.rstrip('/')}/{name}"), False)
-    fs.rename(fs.globStatus(path(f"{being}/part-*"))[0].getPath(), path(f"{folder.rstrip('/')}/{name}"))
+    fs.delete(path(target), False)
+    fs.rename(fs.globStatus(path(f"{being}/part-*"))[0].getPath(), path(target))
     fs.delete(path(being), True)
 
 
+def write_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, engine: int, n: int, seed: int, step: int) -> None:
+    """One snapshot of one run as its two files in the layout that the readers know; a file of that layout is one task's work."""
+    digits = f"{step:09d}"
+    digits = "_".join([digits[: len(digits) % 3 or 3], *(digits[k : k + 3] for k in range(len(digits) % 3 or 3, len(digits), 3))])
+    base = f"{folder.rstrip('/')}/E{engine}/N{n}/S{seed}/data/E{engine}_N{n}_S{seed}_iter_{digits}"
+    _as_file(nodes.select("node_id", F.col("psi_re").alias("psi_real"), F.col("psi_im").alias("psi_imag")).orderBy("node_id"), f"{base}_nodes.csv", "csv")
+    _as_file(edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "theta").orderBy("source", "target"), f"{base}_edges.csv", "csv")
+
+
 def drop_nan(metrics: DataFrame, column: str) -> DataFrame:
     """Rows whose metric is neither null nor NaN."""
     return metrics.na.drop(subset=[column])
