@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,31 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import remove, shared_folder, stored
+
 #: Words of every contract: runs of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes that a kernel gives back at a time.
 OUT_ROWS, OUT_BYTES = 2000, 4 << 20
 
-_own_dir: list[str] = []
-_stored: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one in local mode only."""
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="netweft-"))
-    return f"file://{_own_dir[0]}"
-
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    _stored.append(path)
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    stored.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -48,33 +34,10 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``cut`` stored and that nothing reads any more, and let finished shuffles go with them."""
     for t in tables:
-        _remove(t.sparkSession, t.stored_at)
+        remove(t.sparkSession, t.stored_at)
     release(tables[0].sparkSession)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    if path in _stored:
-        _stored.remove(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Tables that are stored inside are removed at the end, but for those put in the list that is given.
-
-    An operator's result reads its stored tables, so whoever writes the result decides when they go:
-    ``with scratch(spark): operator(docs).write.parquet(there)``.
-    """
-    before, kept = len(_stored), []
-    yield kept
-    for path in _stored[before:]:
-        if path not in [t.stored_at for t in kept]:
-            _remove(spark, path)
-    release(spark)
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver notice that it no longer refers to finished shuffles, whose files executors then remove."""
     gc.collect()
