@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netweft.llm import classifier, jaccard, mixing, packing, rules
 from netweft.llm.queries import vocabulary
-from netweft.llm.shared import cut, documents, scratch
+from netweft.llm.shared import cut, documents, release
+from netweft.session import scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with scratch(spark) as kept:
             docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
             kept.append(docs)
+        release(spark)
     return docs
