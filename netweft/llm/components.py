@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each round replaces every node's edges by edges to its smallest neighbour, so components become
-stars in a logarithmic number of rounds; no node's neighbours are ever gathered in one place.
+stars in a logarithmic number of rounds. Neighbours are never gathered in a row: minima are summed before
+the shuffle. The join that hands a node's minimum to its arcs brings a hub's arcs (two numbers each) into one
+partition; beyond the adaptive plan's skew threshold it is split, the side of the minima being one row.
 """
 
 from __future__ import annotations

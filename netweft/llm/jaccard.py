@@ -1,22 +1,22 @@
-"""N-gram Jaccard join in the metric space of shingle sets, exact at any size of group.
-
-Two documents link when the Jaccard distance of their sets is at most ``R`` = 1/4. Distances obey
-the triangle inequality, also to sets that are no documents, and pivots of both kinds are used.
-
-Level 1: pivots are single shingles. A set's distance to a pivot is below 1 only if it holds the
-shingle, so texts that share nothing, at distance 1 from each other and from nearly any document
-taken as pivot, are told apart, which no set of document pivots could do (windows of width 2R around
-distance 1 hold everything). Pivots are ordered, those that a bounded sample finds in many texts
-last, and the Voronoi region of a set is that of its first pivot; linked sets need not share the first, but must
-share one of the first ``n - ceil(3n/4) + 1``, so each set is replicated to these regions.
-A region of at most ``REGION`` sets gives its pairs; pairs whose shared pivots and what remains behind
+"""N-gram Jaccard join of shingle sets, exact at any size of group.
+
+Two documents link when the Jaccard distance of their sets is at most ``R`` = 1/4. Regions of document
+pivots (level 3) decide among texts that are alike. Among all texts they can't: texts that share nothing are
+at distance 1 from each other and from nearly every pivot, and a window of 2R = 1/2 around distance 1
+holds everything, so a set would be replicated to nearly every region. Two levels before them therefore
+form regions by shared shingles; what these replicate is decided by a bound on the overlap, not by
+the triangle inequality.
+
+Level 1: shingles are ordered, those that a bounded sample finds in many texts last. Linked sets must share
+one of their first ``n - ceil(3n/4) + 1`` shingles in any common order, so each set is replicated to the regions
+of these. A region of at most ``REGION`` sets gives its pairs; pairs whose shared shingles and what remains behind
 them can't reach the overlap needed are dropped, and the others' distances are computed.
 
-Level 2: the sets of larger regions are joined again, recursively, with pivots ordered by how many of
-these sets hold them, the rarest first. Pivots held by one set alone link nothing.
+Level 2: the sets of larger regions are joined again, recursively, with shingles ordered by how many of
+these sets hold them, the rarest first. Shingles held by one set alone link nothing.
 
 Level 3: what still meets in a large region is alike. These regions, united where they overlap, are
-joined by pivots that are documents: sets go to their nearest pivot, those at the boundary (distance at
+joined by pivots that are documents: a set's Voronoi region is that of its nearest pivot; sets go there, those at the boundary (distance at
 most that to the nearest plus 2R) to further ones, and the parts are joined in the same way until they
 are small; there all overlaps are computed, by matrix products over shingles that many sets hold. A pair
 is taken where the set of the smaller hash is at home, in the part of its nearest pivot, so once. A region beyond
@@ -88,7 +88,7 @@ def _large_arrays(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)))
 
 
-# -- level 1: sets, signatures and pivots ---------------------------------------------------------
+# -- level 1: sets, names and first shingles ---------------------------------------------------------
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -158,7 +158,7 @@ def _shared_names(rows: DataFrame) -> list[int]:
     return [r["sig"] for r in found]
 
 
-# -- regions of single-shingle pivots ---------------------------------------------------------------
+# -- regions of shared shingles ---------------------------------------------------------------
 
 _PAIRS = "a long, b long, i int, j int, na long, nb long"
 
