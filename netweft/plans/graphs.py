@@ -72,9 +72,10 @@ def degree_hist5(spark, sf_dir):
     return rounded(M.histogram5(G.all_degrees(v, e, KEYS), KEYS))
 
 
-@query(f"WITH {SNAP}, {ALLDEG} SELECT CAST(step AS BIGINT) AS step, d, count(*) AS nodes, {q6('avg(psi_re * psi_re + psi_im * psi_im)')} AS mean_rho FROM ad GROUP BY step, d")
+@query(f"WITH {SNAP}, {ALLDEG} SELECT CAST(step AS BIGINT) AS step, d, count(*) AS nodes, {q6('avg(psi_re * psi_re + psi_im * psi_im) + 1e-10')} AS mean_rho FROM ad GROUP BY step, d")
 def degree_hist_rho(spark, sf_dir):
-    return rounded(M.degree_density(*_snap(spark, sf_dir), KEYS))
+    # Densities are multiples of 0.0001, so their means may lie on a tie of six decimals, which the order of sums would decide.
+    return rounded(M.degree_density(*_snap(spark, sf_dir), KEYS).withColumn("mean_rho", F.col("mean_rho") + 1e-10))
 
 
 @query(f"WITH {SNAP}, {TRI} SELECT CAST(s.step AS BIGINT) AS step, count(a) AS triangles FROM steps s LEFT JOIN tri ON tri.step = s.step GROUP BY s.step")
