@@ -141,9 +141,11 @@ def write(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     dictionary = train(sample(pages))
-    keyed = pages.withColumn("key", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    last = keyed.groupBy("key").agg(F.max("page_id").alias("last"))
-    joined = keyed.join(last.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").drop("k")
+    keyed = pages.withColumn("key", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
+    # Digests found more than once, from ids and digests alone. Stored, so that its size decides how it is joined; if it is small, no html moves.
+    pairs = keyed.groupBy("key", "page_id").agg(F.count("*").alias("n"))
+    copies = cut(pairs.groupBy("key").agg(F.max("page_id").alias("last"), F.sum("n").alias("rows"), F.max("n").alias("most")).where("rows > 1"), "archive-digests")
+    joined = keyed.join(copies.select(F.col("key").alias("k"), "last"), F.col("key") == F.col("k"), "left").drop("k").withColumn("last", F.coalesce("last", "page_id"))
     schema = "archive_id string, records long, data binary"
     target = arrow_schema(spark, schema)
 
@@ -167,8 +169,8 @@ def write(pages: DataFrame) -> DataFrame:
             yield close()
 
     out = joined.withColumn("first", F.lit(True))
-    twice = keyed.groupBy("key", "page_id").count().where("count > 1").select(F.col("key").alias("k"), F.col("page_id").alias("p"), F.lit(True).alias("again"))
-    if not twice.isEmpty():  # rows that repeat both id and payload: number them, so that one alone is the response
+    if not copies.where("most > 1").isEmpty():  # rows that repeat both id and payload: number them, so that one alone is the response
+        twice = pairs.where("n > 1").select(F.col("key").alias("k"), F.col("page_id").alias("p"), F.lit(True).alias("again"))
         marked = out.join(twice, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("p")), "left").drop("k", "p")
         number = Window.partitionBy("key", "page_id").orderBy("url")
         out = marked.where("again IS NULL").unionByName(marked.where("again").withColumn("first", F.row_number().over(number) == 1)).drop("again")
