@@ -18,6 +18,7 @@ placed each and are interchangeable; an empty table gives an empty table.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +90,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, id_col: s
     rows = cut(rows.withColumn("arc", arc_of("position")).drop("position"), "shard-keys")
     counts = rows.groupBy("arc", "level").count().collect()  # at most shards * vnodes * CLASSES rows
     plan = place({(r["arc"], r["level"]): r["count"] for r in counts}, points, shards)
-    table = [(a, c, runs) for (a, c), runs in plan.items()]
-    runs_df = F.broadcast(spark.createDataFrame(table, "arc int, level int, runs array<struct<rank:long,k:long,shard:int,slot:long>>"))  # bounded as the counts are
+    runs = [(a, c, r) for (a, c), cell in plan.items() for r in cell]
+    table = pa.table({"arc": pa.array([a for a, _, _ in runs], pa.int32()), "level": pa.array([c for _, c, _ in runs], pa.int32()), **{n: pa.array([r[k] for _, _, r in runs], pa.int64()) for k, n in enumerate(("rank", "k", "shard", "start"))}})
+    # Dealt by the columns that the ranks are dealt by, so that only these rows move; Spark sees their size.
+    runs_df = spark.createDataFrame(table).groupBy("arc", "level").agg(F.collect_list(F.struct("rank", "k", F.col("shard").cast("int").alias("shard"), F.col("start").alias("slot"))).alias("runs"))
     within = Window.partitionBy("arc", "level").orderBy("doc_id", "text_crc32", "size")
     ranked = rows.withColumn("n", F.row_number().over(within) - 1).join(runs_df, ["arc", "level"])
     ranked = ranked.withColumn("run", F.filter("runs", lambda x: (x["rank"] <= F.col("n")) & (F.col("n") < x["rank"] + x["k"]))[0])
