@@ -54,11 +54,16 @@ def words(text: Column) -> Column:
 def repeat_words(tokens: Column, n: int = WINDOW) -> Column:
     """Words that lie in an n-word window whose words occur at two or more places of the text."""
 
-    def of(w: Column) -> Column:
-        def covered(h: Column) -> Column:
-            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h, n))
+    def wider(h: Column, by: int) -> Column:
+        """From hashes of windows of some length those of windows longer by ``by`` words, of two that lie so far apart."""
+        some = F.size(h) - by
+        return F.zip_with(F.slice(h, 1, some), F.slice(h, by + 1, some), lambda x, y: F.xxhash64(x, y))
 
-        return _let(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n))), covered)
+    def of(h: Column, length: int = 1) -> Column:
+        if length < n:  # doubled, as long as n allows
+            by = min(length, n - length)
+            return _let(wider(h, by), lambda x: of(x, length + by))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h, n))
 
     return _let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda w: F.when(F.size(w) <= n, F.lit(0)).otherwise(of(w))).cast("long")
 
@@ -89,19 +94,16 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.size(x["l"]).cast("long").alias("n_lines"),
             (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"),
             repeat_words(x["w"]).alias("n_repeat_words"),
+            F.char_length(F.array_join(x["w"], "")).cast("long").alias("word_chars"),
+            F.size(F.filter(x["w"], lambda w: F.lower(w).isin(*ALL_STOP_WORDS))).cast("long").alias("n_stop_words"),
         ),
     )
-    # Stop words are counted over the text with its white space made single blanks.
-    blank = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), SPLIT, " "), F.lit(" "))
-    hits = F.regexp_count(blank, F.lit("(?<= )(?:" + "|".join(ALL_STOP_WORDS) + ")(?= )"))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         counts.alias("c"),
-        F.char_length(F.regexp_replace(text, SPLIT, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        hits.cast("long").alias("n_stop_words"),
         *carry,
-    ).select(*carry, "doc_id", "c.n_words", "word_chars", "n_symbols", "c.n_dup_lines", "c.n_repeat_words", "c.n_lines", "n_stop_words")
+    ).select(*carry, "doc_id", "c.n_words", "c.word_chars", "n_symbols", "c.n_dup_lines", "c.n_repeat_words", "c.n_lines", "c.n_stop_words")
 
 
 def _ratio(a: Column, b: Column) -> Column:
