@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from netweft.llm import classifier, jaccard, matroska, mixing, packing, scoring, sharding, tokens
+from netweft.llm import classifier, jaccard, matroska, mixing, packing, rules, scoring, sharding, tokens, warc
 from netweft.llm.queries import vocabulary
 
 from test_operators import corpus, docs, links_brute, make, words  # noqa: F401
@@ -211,3 +211,35 @@ def test_stages_at_the_edges(spark, sf):
     packed = P.STAGES[4][1](spark, df, sf)
     assert packed.count() == packing.pieces(df, vocabulary()).count() == len(rows)
     assert P.STAGES[4][1](spark, df.where("doc_id > 9"), sf).count() == 0
+
+
+def test_archive_of_clashing_columns_null_ids_and_copies(spark):
+    rows = [(1, "a", "x"), (2, "b", "x"), (2, "b", "x"), (3, None, None), (4, "d", ""), (None, "e", "x"), (None, "f", "alone"), (None, "g", "both"), (None, "g", "both"), (5, "h", "w" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "7 AS last", "8 AS first", "9 AS rows", "'k' AS key", "1 AS n")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.records(warc.write(pages)).collect())
+    assert got == Counter({
+        (2, 1, "response", None): 1, (2, 1, "revisit", 2): 1, (1, 1, "revisit", 2): 1, (None, 1, "revisit", 2): 1, (4, 0, "response", None): 1, (3, 0, "revisit", 4): 1,
+        (None, 5, "response", None): 1, (None, 4, "response", None): 1, (None, 4, "revisit", None): 1, (5, 3_000_000, "response", None): 1,
+    })
+
+
+def test_ring_of_equal_rows(spark):
+    docs = spark.range(1000).selectExpr("7L AS doc_id", "'same' AS text", "0 AS arc", "1 AS level", "2 AS runs")
+    got = sharding.shard(docs).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 1000 and {len(s) for s in slots.values()} <= {41, 42}
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 8])
+def test_repeated_windows_of_any_length(spark, n):
+    texts = ["a b a b a b c", "x " * 20, "p q r s t u v w " * 3 + "z", "one two three four five six seven eight nine", ""]
+
+    def brute(w):
+        seen = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        return len({i + k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(n)})
+
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", rules.repeat_words(rules.words(F.col("text")), n).alias("c")).collect()
+    assert [r["c"] for r in rows] == [brute(r["text"].split()) for r in rows]
