@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, jaccard, licenses, matroska, mixing, packing, rules, scoring, sharding, warc
+from . import audit, classifier, counting, jaccard, licenses, matroska, mixing, packing, rules, scoring, sharding, trie, warc
 from .shared import documents
 
 
@@ -61,6 +61,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count(documents(spark, sf_dir), vocabulary())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,11 +83,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_matroska, op3_jaccard_join, op3_jaccard_links, op4_mixing, op5_sharding, op6_warc,
-        op7_quality_classifier, op8_packing, op9_license_scan, op10_lm_scoring, pipeline,
+        op7_quality_classifier, op8_packing, op9_license_scan, op10_lm_scoring, op11_filter_audit, op12_conversation_trie, op13_token_counts, pipeline,
     )
 }
 
 #: SQL where it can say the same.
 SQL: dict[str, str] = {
     "op1_quality_rules": rules.SQL, "op3_jaccard_join": jaccard.SQL, "op3_jaccard_links": jaccard.LINKS_SQL, "op4_mixing": mixing.SQL, "op6_warc": warc.SQL, "op9_license_scan": licenses.SQL,
+    "op11_filter_audit": audit.SQL, "op12_conversation_trie": trie.SQL,
 }
