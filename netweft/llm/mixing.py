@@ -1,6 +1,7 @@
 """Mixing sources to target weights by nested hash thresholds.
 
-Every document has a hash in [0, 2**60). A source takes each of its documents ``whole`` times and
+Every row has a hash in [0, 2**60) of its id, text and source; rows that are equal in all three are numbered, and the
+number is hashed in too, so that no group of rows is larger than its largest document. A source takes each of its documents ``whole`` times and
 those whose hash lies below its threshold once more. The threshold comes from histograms, not from
 sorting: tokens are summed by source and hash bucket, the bucket in which the running sum crosses
 the budget is found, and only that boundary bucket is refined by further bits, level by level, until
@@ -20,9 +21,11 @@ Only built-in functions run. Per-source tables have a row per source; they are j
 adaptive plan sees fit by their measured size. The one window that is not by source runs over that
 table of sources.
 
-Defined cases: a null text has size 0 and takes 0; rows with equal ids have equal hashes and are
-taken together or not; a source whose size is 0 has target 0; an empty table gives an empty table;
-other columns are not read.
+Equal rows are counted by the partition in which they are found, and numbered from the counts of the partitions before; only
+these counts are shuffled, and what is unequal needs none. Which of several equal rows is taken is of no consequence, how many are is.
+
+Defined cases: a null text has size 0 and takes 0; null and repeated ids are rows like others; a source whose size is 0 has
+target 0; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +40,46 @@ WEIGHTS, LIMIT, FILLS = (5, 2, 1), 3, 2
 BITS, FINE, COARSE = 60, 20, 10
 
 
-def hash60(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def _hash60(text: Column) -> Column:
+    """60 bits of the MD5 of a string."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def first_hash(doc_id: Column, text: Column, source: Column) -> Column:
+    """The hash of a row, if no other equals it in these three."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")), F.coalesce(source, F.lit(""))]
+    return _hash60(F.concat_ws(":", *parts))
+
+
+def copy_hash(h: Column, copy: Column) -> Column:
+    """The hash of a row's equal number ``copy``; the first one's is the row's."""
+    return F.when(copy == 0, h).otherwise(_hash60(F.concat_ws(":", h.cast("string"), copy.cast("string"))))
+
+
+def _equals(rows: DataFrame) -> DataFrame:
+    """``doc_id, source, size, h, part, before, n``, stored: of rows that others equal, how many a partition has and how many those before it have."""
+    own = ["doc_id", "source", "size", "h"]
+    counts = rows.groupBy(*own, "part").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*own).orderBy("part")
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("n").over(Window.partitionBy(*own))
+    several = counts.select("*", F.coalesce(before, F.lit(0)).alias("before"), total.alias("total")).where("total > 1")
+    return cut(several.drop("total"), "mix-equal-rows")
+
+
+def _same_row() -> Column:
+    """Rows equal in id, text and source, the other side's columns having names with ``e_``."""
+    return (F.col("h") == F.col("e_h")) & F.col("doc_id").eqNullSafe(F.col("e_doc_id")) & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size"))
+
+
+def _told_apart(rows: DataFrame, equals: DataFrame) -> DataFrame:
+    """Rows ``doc_id, source, size, h`` with a hash of their own each."""
+    if equals.isEmpty():
+        return rows.drop("part")
+    own = equals.select(*[F.col(c).alias(f"e_{c}") for c in ("doc_id", "source", "size", "h")]).distinct()
+    single = rows.join(own, _same_row(), "left_anti").drop("part")
+    numbered = equals.withColumn("copy", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
+    return cut(single.unionByName(numbered.select("doc_id", "source", "size", copy_hash(F.col("h"), F.col("copy")).alias("h"))), "mix-rows")
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -130,17 +170,35 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + _extra(1 + FILLS).cast("long")).otherwise(0).cast("long"))
 
 
+def _with_hash(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    source = F.col(source_col).cast("string")
+    return docs.select(*more, F.col(id_col).alias("doc_id"), source.alias("source"), _size(text_col).alias("size"), first_hash(F.col(id_col), F.col(text_col), source).alias("h"), F.spark_partition_id().alias("part"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row: ``doc_id, size, source, source_size, target, repeats, taken``."""
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), hash60(F.col(id_col)).alias("h")), "mix-sizes")
+    found = cut(_with_hash(docs, id_col, text_col, source_col), "mix-sizes")
+    rows = _told_apart(found, _equals(found))
     out = _with_plan(rows, _decide(rows.select("source", "size", "h")))
     return out.select("doc_id", "size", "source", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, with their own columns, as often as the mix takes them; texts are not shuffled."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), hash60(F.col(id_col)).alias("h"))
-    plan = _decide(cut(rows.drop("row"), "mix-sizes"))
+    """The rows of ``docs``, with their own columns, as often as the mix takes them; only texts that others equal are shuffled."""
+    rows = _with_hash(docs, id_col, text_col, source_col, F.struct("*").alias("row"))
+    found = cut(rows.drop("row"), "mix-sizes")
+    equals = _equals(found)
+    plan = _decide(_told_apart(found, equals).select("source", "size", "h"))
+    if not equals.isEmpty():
+        own = ["doc_id", "source", "size", "h"]
+        several = equals.select(*[F.col(c).alias(f"e_{c}") for c in own]).distinct()
+        # Partitions are those of the stored copies, whatever the rows' own were.
+        copies = cut(rows.drop("part").join(several, _same_row(), "left_semi").withColumn("part", F.spark_partition_id()), "mix-copies")
+        places = _equals(copies.drop("row")).select(*[F.col(c).alias(f"e_{c}") for c in own], F.col("part").alias("e_part"), "before")
+        within = Window.partitionBy(*own, "part").orderBy("h")
+        numbered = copies.join(places, _same_row() & (F.col("part") == F.col("e_part"))).withColumn("copy", F.col("before") + F.row_number().over(within) - 1)
+        numbered = numbered.select("row", *own[:3], copy_hash(F.col("h"), F.col("copy")).alias("h"))
+        rows = rows.join(several, _same_row(), "left_anti").select("row", *own).unionByName(numbered)
     taken = _with_plan(rows, plan).where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
     return taken.select("row.*")
 
@@ -148,7 +206,9 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 def _sql() -> str:
     weight = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0e0 WHEN 1 THEN 2.0e0 ELSE 1.0e0 END"
     ctes = [
-        "d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents)",
+        "d0 AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')), ':', coalesce(source, ''))), 1, 15) AS BIGINT) AS h0 FROM documents)",
+        "d1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, h0) - 1 AS copy FROM d0)",
+        "d AS (SELECT doc_id, source, size, CASE WHEN copy = 0 THEN h0 ELSE CAST('0x' || substr(md5(concat(h0, ':', copy)), 1, 15) AS BIGINT) END AS h FROM d1)",
         f"s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, {weight} AS weight FROM d GROUP BY source)",
         f"""s1 AS (SELECT *, (sum(source_size) OVER () - {LIMIT} * coalesce(sum(source_size) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
           / sum(weight) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM s0)""",

@@ -347,6 +347,31 @@ def test_mixing_meets_targets(spark, docs):
     assert mixing.mix(make(spark, [(1, None), (2, " ")])).agg(F.sum("taken"), F.max("target")).first() == (0, 0.0)
 
 
+def test_mixing_tells_rows_apart(spark):
+    """Null and repeated ids, and rows equal throughout: every source's taken words come within its largest document of its target."""
+    rng = np.random.default_rng(8)
+    rows = [(None if k % 5 < 3 else k % 40, " ".join(rng.choice(["a", "bc", "def"], int(rng.integers(1, 60)))), f"s{k % 6}") for k in range(600)]
+    rows += [(None, "the same text each time", f"s{k % 2}") for k in range(800)] + [(5, "one two three", "s3")] * 300
+    table = make(spark, rows).repartition(6)
+    got = mixing.mix(table).collect()
+    assert Counter((r["doc_id"], r["size"], r["source"]) for r in got) == Counter((i, len(t.split()), s) for i, t, s in rows)
+    taken, largest, target = Counter(), Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+        target[r["source"]] = r["target"]
+    for s in target:
+        assert abs(taken[s] - target[s]) <= largest[s]
+    # The same number of each kind of row whatever the partitions, and as many rows as the operator hands on.
+    kinds = Counter((r["doc_id"], r["size"], r["source"], r["repeats"]) for r in got)
+    assert kinds == Counter((r["doc_id"], r["size"], r["source"], r["repeats"]) for r in mixing.mix(table.repartition(3)).collect())
+    given = Counter((r["doc_id"], len((r["text"] or "").split()), r["source"]) for r in mixing.sample(table).collect())
+    want = Counter()
+    for (i, n, s, k), m in kinds.items():
+        want[i, n, s] += k * m
+    assert given == +want
+
+
 # -- op5 ----------------------------------------------------------------------------------------------
 
 
