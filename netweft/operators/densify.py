@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from .graph import numbered
+
 Keys = Sequence[str]
 
 
@@ -38,29 +41,58 @@ def valid_pads(nodes: DataFrame, n: int, keys: Keys) -> DataFrame:
     return nodes.groupBy(*keys, "step").agg(F.count("*").alias("found")).where(F.col("found") == n).select(*keys, "step")
 
 
-def bisection_order(n: int) -> list[int]:
-    """Indices 0..n-1: first, last, then midpoints level by level, then what is left."""
-    if n <= 0:
-        return []
-    order, seen, level = [0], {0}, [(0, n - 1)]
-    if n > 1:
-        order.append(n - 1)
-        seen.add(n - 1)
-    while level:
-        following = []
-        for a, b in level:
-            m = (a + b) // 2
-            if m not in seen:
-                order.append(m)
-                seen.add(m)
-            if b - a > 1:
-                following += [(a, m), (m, b)]
-        level = [x for x in following if x[1] - x[0] > 1]
-    return order + [k for k in range(n) if k not in seen]
-
-
-def frame_order(frames: DataFrame, spark: SparkSession) -> DataFrame:
-    """``step, index, place`` of one series' frames in bisection order; as long as the series."""
-    steps = [r["step"] for r in frames.select("step").distinct().orderBy("step").collect()]
-    place = {k: p for p, k in enumerate(bisection_order(len(steps)))}
-    return spark.createDataFrame([(s, k, place[k]) for k, s in enumerate(steps)], "step long, index long, place long")
+def _descent(k: Column, n: Column) -> Column:
+    """The way of index k down the halvings of 0..n-1 until it is a midpoint: ``level``, ``path`` (its place among the level's intervals) and the interval ``a, b``."""
+    start = F.struct(F.lit(0).cast("long").alias("a"), (n - 1).cast("long").alias("b"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("path"))
+
+    def halve(s: Column, _: Column) -> Column:
+        m = F.floor((s["a"] + s["b"]) / 2).cast("long")
+        right = k > m
+        inner = F.struct(
+            F.when(right, m).otherwise(s["a"]).alias("a"), F.when(right, s["b"]).otherwise(m).alias("b"),
+            (s["level"] + 1).alias("level"), (2 * s["path"] + right.cast("long")).alias("path"),
+        )
+        return F.when(k == m, s).otherwise(inner)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)
+
+
+#: Halvings that an interval of indices can have.
+HALVINGS = 62
+
+
+def _midpoints(width: Column, depth: Column) -> Column:
+    """Midpoints that an interval of ``width`` has ``depth`` levels below it: a part has one if it is 2 wide or more, and parts differ by 1 at most."""
+    parts = F.pow(F.lit(2.0), depth).cast("long")
+    each = F.floor(width / parts)
+    return F.when(each >= 2, parts).when(each == 1, width % parts).otherwise(0).cast("long")
+
+
+def bisection_place(k: Column, n: Column) -> Column:
+    """The place of index k among n in the order first, last, then midpoints level by level.
+
+    Levels are full but for the last; a midpoint's place in the last is what lies left of its way down.
+    """
+    at = _descent(k, n)
+    level = at["level"]
+    start = F.struct(F.lit(0).cast("long").alias("a"), (n - 1).cast("long").alias("b"), F.lit(0).cast("long").alias("left"))
+
+    def walk(s: Column, j: Column) -> Column:
+        m = F.floor((s["a"] + s["b"]) / 2).cast("long")
+        right = k > m
+        skipped = F.when(right, _midpoints(m - s["a"], level - j)).otherwise(0).cast("long")
+        inner = F.struct(F.when(right, m).otherwise(s["a"]).alias("a"), F.when(right, s["b"]).otherwise(m).alias("b"), (s["left"] + skipped).alias("left"))
+        return F.when(j <= level, inner).otherwise(s)
+
+    left = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, walk)["left"]
+    full = F.pow(F.lit(2.0), level).cast("long") - 1  # midpoints of the levels above
+    return F.when(k == 0, 0).when(k == n - 1, 1).otherwise(2 + full + left).cast("long")
+
+
+def frame_order(frames: DataFrame, keys: Keys = ()) -> DataFrame:
+    """``[keys], step, index, place`` of each series' frames in bisection order, as column expressions; frames are numbered by ranges."""
+    keys = list(keys)
+    ranked = checkpointed(numbered(frames.select(*keys, F.col("step").alias("node_id")).distinct(), keys).withColumnRenamed("node_id", "step"))
+    sizes = ranked.groupBy(*keys).agg((F.max("index") + 1).alias("n"))
+    rows = ranked.join(sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))  # one row
+    return rows.select(*keys, "step", "index", bisection_place(F.col("index"), F.col("n")).alias("place"))

@@ -19,7 +19,11 @@ def grouped(df: DataFrame, keys: Keys):
 
 def degree_stats(nodes: DataFrame, edges: DataFrame, keys: Keys = ()) -> DataFrame:
     """Nodes, edges, and minimum, mean, population deviation and maximum of the degrees, isolated nodes included."""
-    d = G.all_degrees(nodes.select(*keys, "node_id"), edges, keys)
+    return degree_summary(G.all_degrees(nodes.select(*keys, "node_id"), edges, keys), keys)
+
+
+def degree_summary(d: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The same of a table of degrees."""
     return grouped(d, keys).agg(
         F.count("*").alias("n_nodes"), (F.coalesce(F.sum("d"), F.lit(0)) / 2).cast("long").alias("edges"), F.coalesce(F.min("d"), F.lit(0)).alias("min_degree"),
         F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean_degree"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("std_degree"), F.coalesce(F.max("d"), F.lit(0)).alias("max_degree"),
@@ -57,9 +61,9 @@ def snapshot_metrics(nodes: DataFrame, edges: DataFrame, keys: Keys) -> DataFram
 # -- energies -------------------------------------------------------------------------------------
 
 
-def edge_energies(nodes: DataFrame, edges: DataFrame, p: dict[str, float], keys: Keys = ()) -> DataFrame:
-    """``hop``, ``stress`` and ``bias`` of each edge."""
-    x = G.endpoints(nodes, edges, keys)
+def edge_energies(nodes: DataFrame, edges: DataFrame, p: dict[str, float], keys: Keys = (), node_keys: Keys | None = None) -> DataFrame:
+    """``hop``, ``stress`` and ``bias`` of each edge; ``node_keys``: the keys that nodes have, if not all."""
+    x = G.endpoints(nodes, edges, keys if node_keys is None else node_keys)
     c = F.col
     rho_i, rho_j = A.density(c("psi_re_i"), c("psi_im_i")), A.density(c("psi_re_j"), c("psi_im_j"))
     return x.select(

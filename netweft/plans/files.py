@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, stored
+from ..operators import growth as W
+from ..session import checkpointed, shared_folder, stored
 from ..sources import fixtures as X
 from ..sources import snapshots as S
 from .graphs import q6, rounded
@@ -32,11 +33,11 @@ def _new(spark) -> str:
 
 
 def _folder(spark, sf_dir, steps=X.STEPS) -> str:
-    """All nodes and edges of the growing network, a pair of files for each step."""
+    """All nodes and edges of the growing network, a pair of files for each step; the edges are computed once and written by one job."""
     folder = _new(spark)
-    nodes, edges = X.snapshots(spark, sf_dir, steps)
-    for step in steps:
-        S.write_snapshot(nodes.where(F.col("step") == step), edges.where(F.col("step") == step), folder, ENGINE, N, SEED, step)
+    edges = W.at_steps(W.born(checkpointed(X.part_edges(spark, sf_dir)), steps), steps)
+    nodes = X.part_nodes(spark, sf_dir).withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps])))
+    S.write_snapshots(nodes, edges, folder, ENGINE, N, SEED)
     return folder
 
 
@@ -81,3 +82,23 @@ def file_logs(spark, sf_dir):
     got = S.read_logs(spark, folder)
     done = F.max(F.when(F.col("completed"), 1).otherwise(0)).alias("completed")
     return rounded(got.groupBy(*S.RUN).agg(F.count("*").alias("rows"), F.max("step").alias("last_step"), F.sum("triangles").alias("triangles"), F.sum("k_avg").alias("k_avg"), done))
+
+
+@query(f"""WITH {SNAP}, c AS (SELECT step, count(*) AS n, count(*) FILTER (WHERE src % 7 = 0) AS bad FROM e GROUP BY step)
+SELECT {RUN}, CAST(step AS BIGINT) AS step, CASE WHEN step = 2 THEN 0 WHEN step = 11 THEN 0 ELSE n END AS lines, CASE WHEN step = 5 THEN bad ELSE 0 END AS faulty,
+  CASE WHEN step = 2 THEN 'empty' WHEN step = 11 THEN 'unreadable' WHEN step = 5 AND bad > 0 THEN 'faulty' ELSE 'good' END AS status, CASE WHEN step IN (2, 11) THEN 0 WHEN step = 5 THEN n - bad ELSE n END AS edges FROM c""")
+def file_faults(spark, sf_dir):
+    """A folder with good files, one of which some lines aren't rows, one that holds its header alone, and one that can't be unpacked."""
+    folder = _folder(spark, sf_dir)
+    data = f"{folder}/E{ENGINE}/N{N}/S{SEED}/data/E{ENGINE}_N{N}_S{SEED}_iter_000_000_"
+    header = spark.createDataFrame([("source,target,theta",)], "value string")
+    S._as_file(header, f"{data}002_edges.csv", "text")
+    e = W.at_steps(W.born(X.part_edges(spark, sf_dir), X.STEPS), X.STEPS).where("step = 5")
+    line = F.when(F.col("src") % 7 == 0, F.concat(F.lit("not,a,"), "src", F.lit("-row"))).otherwise(F.concat_ws(",", "src", "dst", "theta"))
+    lines = header.withColumn("part", F.lit(0)).unionByName(e.select(line.alias("value"), F.lit(1).alias("part")))
+    S._as_file(lines.orderBy("part").select("value"), f"{data}005_edges.csv", "text")
+    S.remove_file(spark, f"{data}011_edges.csv")
+    S._as_file(header, f"{data}011_edges.csv.gz", "text")  # plain text by a name that promises gzip
+    report = S.faults(spark, folder).select(*S.RUN, "step", "lines", "faulty", "status")
+    rows = S.read_edges(spark, folder, tolerant=True).groupBy("step").agg(F.count("*").alias("edges"))
+    return report.join(rows, "step", "left").na.fill(0, ["edges"]).select(*S.RUN, "step", "lines", "faulty", "status", "edges")

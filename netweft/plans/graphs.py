@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import amplitude as A
 from ..operators import graph as G
+from ..operators import growth as W
 from ..operators import metrics as M
 from ..operators import observables as O
+from ..session import checkpointed
 from ..sources import fixtures as X
 from ..sources.schema import PARAMS as P
 
@@ -38,6 +40,15 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r6(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
 
 
+def _grown(spark: SparkSession, sf_dir: str, steps: tuple[int, ...] = X.STEPS) -> tuple[DataFrame, DataFrame]:
+    """The growing network's nodes, and its edges once, with the first step that has them."""
+    return X.part_nodes(spark, sf_dir), W.born(checkpointed(X.part_edges(spark, sf_dir)), steps)
+
+
+def _frames(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in X.STEPS], "step int")
+
+
 def _snap(spark: SparkSession, sf_dir: str, steps: tuple[int, ...] = X.STEPS) -> tuple[DataFrame, DataFrame]:
     return X.snapshots(spark, sf_dir, steps)
 
@@ -80,13 +91,12 @@ def degree_hist_rho(spark, sf_dir):
 
 @query(f"WITH {SNAP}, {TRI} SELECT CAST(s.step AS BIGINT) AS step, count(a) AS triangles FROM steps s LEFT JOIN tri ON tri.step = s.step GROUP BY s.step")
 def triangle_count_by_step(spark, sf_dir):
-    v, e = _snap(spark, sf_dir)
-    return rounded(M.triangle_counts(e, spark.createDataFrame([(s,) for s in X.STEPS], "step int"), KEYS))
+    return rounded(W.triangle_counts(_grown(spark, sf_dir)[1], _frames(spark), X.STEPS))
 
 
 @query(f"WITH {SNAP}, {TRI} SELECT CAST(step AS BIGINT) AS step, node_id, count(*) AS triangles FROM (SELECT step, unnest([a, b, c]) AS node_id FROM tri) x GROUP BY ALL")
 def node_triangles(spark, sf_dir):
-    return rounded(G.node_triangles(_snap(spark, sf_dir)[1], KEYS))
+    return rounded(W.node_triangles(_grown(spark, sf_dir)[1], X.STEPS))
 
 
 @query(f"""WITH {SNAP}, {ALLDEG}, {TRI},
@@ -96,7 +106,8 @@ h AS (SELECT step, {BINS} FROM b GROUP BY step),
 t AS (SELECT step, count(*) AS triangles FROM tri GROUP BY step)
 SELECT CAST(s.step AS BIGINT) AS step, s.* EXCLUDE (step), h.* EXCLUDE (step), coalesce(triangles, 0) AS triangles FROM s JOIN h USING (step) LEFT JOIN t USING (step)""")
 def snapshot_metrics(spark, sf_dir):
-    return rounded(M.snapshot_metrics(*_snap(spark, sf_dir), KEYS))
+    v, e = _grown(spark, sf_dir)
+    return rounded(W.snapshot_metrics(v.crossJoin(F.broadcast(_frames(spark))), e, X.STEPS))  # five steps
 
 
 @query(f"WITH {SNAP}, {EV} SELECT CAST(step AS BIGINT) AS step, src, dst, {q6(f'-{P["kappa"]}e0 * ({HOP})')} AS hop, {q6(f'{P["lam_g"]}e0 * (ri * ri + ii * ii + rj * rj + ij * ij)')} AS stress, {P['lam_e']}e0 AS bias FROM ev")
@@ -114,7 +125,8 @@ def node_self_energy(spark, sf_dir):
 
 @query(f"WITH {SNAP}, {TRI} SELECT CAST(step AS BIGINT) AS step, a, b, c, {q6(f'{P["beta"]}e0 * (1 - cos(t_ab + t_bc - t_ac))')} AS energy FROM tri")
 def triangle_energy(spark, sf_dir):
-    return rounded(M.triangle_energies(_snap(spark, sf_dir)[1], P, KEYS))
+    tri = W.at_steps(W.triangles(_grown(spark, sf_dir)[1]), X.STEPS)
+    return rounded(tri.select("step", "a", "b", "c", A.triangle_energy(F.col("t_ab"), F.col("t_bc"), F.col("t_ac"), P).alias("energy")))
 
 
 @query(f"""WITH {SNAP}, {EV}, {TRI}, {DEG},
@@ -126,7 +138,7 @@ SELECT CAST(step AS BIGINT) AS step, {q6('self_part')} AS self_part, {q6('edge_p
   {q6('self_part + edge_part + coalesce(triangle_part, 0) + degree_part')} AS action
 FROM s JOIN h USING (step) LEFT JOIN t USING (step) JOIN g USING (step)""")
 def total_action(spark, sf_dir):
-    return rounded(M.total_action(*_snap(spark, sf_dir), P, KEYS))
+    return rounded(W.total_action(*_grown(spark, sf_dir), P, X.STEPS))
 
 
 VEC = """v AS (SELECT 0 AS step, vec_id AS node_id, CAST(embedding[1] AS DOUBLE) AS psi_re, CAST(embedding[2] AS DOUBLE) AS psi_im FROM embeddings),
@@ -398,12 +410,12 @@ def local_psi_energy(spark, sf_dir):
 @query(f"""WITH {SNAP}, {EV}, {TRI}, x AS (SELECT step, unnest([a, b, a]) AS src, unnest([b, c, c]) AS dst, {P['beta']}e0 * (1 - cos(t_ab + t_bc - t_ac)) AS t FROM tri), y AS (SELECT step, src, dst, sum(t) AS t FROM x GROUP BY ALL)
 SELECT CAST(step AS BIGINT) AS step, src, dst, {q6(f'-{P["kappa"]}e0 * ({HOP}) + coalesce(t, 0)')} AS local_energy FROM ev LEFT JOIN y USING (step, src, dst)""")
 def local_theta_energy(spark, sf_dir):
-    return rounded(M.local_theta_energy(*_snap(spark, sf_dir), P, KEYS))
+    return rounded(W.edge_loop_energy(*_grown(spark, sf_dir), P, X.STEPS))
 
 
 @query(f"""WITH {SNAP}, {TRI} SELECT CAST(step AS BIGINT) AS step, count(*) AS loops, {q6('avg(cos(t_ab + t_bc - t_ac))')} AS mean_loop FROM tri GROUP BY step""")
 def mean_loop(spark, sf_dir):
-    return rounded(O.wilson_loops(_snap(spark, sf_dir)[1], KEYS).groupBy("step").agg(F.count("*").alias("loops"), F.avg("loop").alias("mean_loop")))
+    return rounded(W.mean_loops(_grown(spark, sf_dir)[1], X.STEPS))
 
 
 @query(f"""WITH {X.snapshots_sql((0, X.ALL))}, a AS (SELECT DISTINCT src AS node_id FROM arcs WHERE step = 0), b AS (SELECT DISTINCT src AS node_id FROM arcs WHERE step = {X.ALL}), s AS (SELECT node_id FROM a INTERSECT SELECT node_id FROM b) SELECT node_id FROM s WHERE (SELECT count(*) FROM s) >= 20""")

@@ -8,7 +8,6 @@ from ..functions import text as T
 from ..operators import densify as D
 from ..operators import monitor as N
 from ..operators import stability as S
-from ..operators import sweep as W
 from ..sources import fixtures as X
 from .graphs import q6, rounded
 
@@ -66,17 +65,17 @@ def completion_step(spark, sf_dir):
     return rounded(S.completion(_log(spark, sf_dir), RUN))
 
 
-@query(f"""WITH {LOG}, x AS (SELECT * FROM (SELECT *, max(step) OVER (PARTITION BY run_id) AS latest FROM lg WHERE step <= 2000) y WHERE step > latest - 1000 AND (latest - step) % 100 = 0)
+@query(f"""WITH {LOG}, x AS (SELECT * FROM (SELECT *, max(step) OVER (PARTITION BY run_id) AS latest FROM lg) y WHERE step > latest - 1000 AND (latest - step) % 100 = 0)
 SELECT run_id, max(latest) AS latest, count(DISTINCT step) AS found, count(DISTINCT step) = 10 AND count(DISTINCT trunc(k_avg * 1000)) = 1 AND arg_max(k_min, step) >= 2 AS stable FROM x GROUP BY run_id""")
 def stability_disk(spark, sf_dir):
-    return rounded(S.stable_on_disk(_log(spark, sf_dir).where("step <= 2000"), RUN, 100))
+    return rounded(S.stable_on_disk(_log(spark, sf_dir), RUN, 100))
 
 
-@query(f"""WITH {LOG}, x AS (SELECT *, max(step) OVER (PARTITION BY run_id) AS latest, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rk FROM lg WHERE step <= 2000),
+@query(f"""WITH {LOG}, x AS (SELECT *, max(step) OVER (PARTITION BY run_id) AS latest, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rk FROM lg),
 y AS (SELECT *, step >= latest - 0.01e0 * latest AS recent FROM x), z AS (SELECT *, sum(CAST(recent AS INT)) OVER (PARTITION BY run_id) AS n_recent FROM y)
 SELECT run_id, count(*) AS rows_used, count(DISTINCT triangles) = 1 AND arg_max(k_min, step) > 0 AS stable FROM z WHERE CASE WHEN n_recent >= 3 THEN recent ELSE rk <= 3 END GROUP BY run_id""")
 def stability_metrics(spark, sf_dir):
-    return rounded(S.stable_by_metrics(_log(spark, sf_dir).where("step <= 2000"), RUN))
+    return rounded(S.stable_by_metrics(_log(spark, sf_dir), RUN))
 
 
 FRACTIONS = ", ".join(f"({int(round(f * 100))})" for f in S.SLICES)
@@ -133,25 +132,27 @@ def missing_frames(spark, sf_dir):
     return rounded(D.missing_frames(_frames(spark, sf_dir), RUN, 1.5, 20.0, 80.0))
 
 
-BSP = """f AS (SELECT step, row_number() OVER (ORDER BY step) - 1 AS idx FROM (SELECT DISTINCT step FROM lg WHERE run_id = 0) x), nn AS (SELECT count(*) AS n FROM f),
-q(level, ord, a, b) AS (
-  SELECT 0, CAST(0 AS HUGEINT), CAST(0 AS BIGINT), (SELECT n FROM nn) - 1
-  UNION ALL SELECT level + 1, ord * 2 + k, CASE WHEN k = 0 THEN a ELSE (a + b) // 2 END, CASE WHEN k = 0 THEN (a + b) // 2 ELSE b END FROM q, (VALUES (0), (1)) h(k) WHERE b - a > 1),
-m AS (SELECT (a + b) // 2 AS idx, min(level) AS level, arg_min(ord, level) AS ord FROM q WHERE b - a > 1 GROUP BY 1),
-o AS (SELECT f.step, f.idx, CASE WHEN f.idx = 0 THEN -2 WHEN f.idx = (SELECT n FROM nn) - 1 THEN -1 ELSE coalesce(m.level, 1000) END AS l, m.ord FROM f LEFT JOIN m USING (idx))"""
+BSP = """f AS (SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS idx FROM (SELECT DISTINCT run_id, step FROM lg) x), nn AS (SELECT run_id, count(*) AS n FROM f GROUP BY run_id),
+q(run_id, level, ord, a, b) AS (
+  SELECT run_id, 0, CAST(0 AS HUGEINT), CAST(0 AS BIGINT), n - 1 FROM nn
+  UNION ALL SELECT run_id, level + 1, ord * 2 + k, CASE WHEN k = 0 THEN a ELSE (a + b) // 2 END, CASE WHEN k = 0 THEN (a + b) // 2 ELSE b END FROM q, (VALUES (0), (1)) h(k) WHERE b - a > 1),
+m AS (SELECT run_id, (a + b) // 2 AS idx, min(level) AS level, arg_min(ord, level) AS ord FROM q WHERE b - a > 1 GROUP BY ALL),
+o AS (SELECT f.run_id, f.step, f.idx, CASE WHEN f.idx = 0 THEN -2 WHEN f.idx = n - 1 THEN -1 ELSE level END AS l, m.ord FROM f JOIN nn USING (run_id) LEFT JOIN m ON m.run_id = f.run_id AND m.idx = f.idx)"""
 
 
-@query(f"WITH RECURSIVE {LOG}, {BSP} SELECT step, idx AS index, row_number() OVER (ORDER BY l, ord, idx) - 1 AS place FROM o")
+@query(f"WITH RECURSIVE {LOG}, {BSP} SELECT run_id, step, idx AS index, row_number() OVER (PARTITION BY run_id ORDER BY l, ord, idx) - 1 AS place FROM o")
 def frame_bsp_order(spark, sf_dir):
-    return rounded(D.frame_order(_log(spark, sf_dir).where("run_id = 0"), spark))
+    """The order in which each run's frames are made: first, last, then midpoints level by level."""
+    return rounded(D.frame_order(_log(spark, sf_dir), RUN))
 
 
-@query(f"""WITH {LOG}, a AS (SELECT run_id, max(step) AS last_step, {q6('max(elapsed_sec)')} AS seconds FROM lg WHERE run_id % 3 != 0 AND step <= 1000 GROUP BY run_id), b AS (SELECT run_id, max(step) AS last_step, {q6('max(elapsed_sec)')} AS seconds FROM lg WHERE run_id % 2 = 0 GROUP BY run_id)
+@query(f"""WITH {LOG}, a AS (SELECT run_id, max(step) AS last_step, {q6('max(elapsed_sec)')} AS seconds FROM lg WHERE run_id % 3 != 0 GROUP BY run_id), b AS (SELECT run_id, max(step) AS last_step, {q6('max(elapsed_sec)')} AS seconds FROM lg WHERE run_id % 3 != 1 GROUP BY run_id)
 SELECT coalesce(a.run_id, b.run_id) AS run_id, CASE WHEN b.run_id IS NOT NULL THEN b.last_step ELSE a.last_step END AS last_step, CASE WHEN b.run_id IS NOT NULL THEN b.seconds ELSE a.seconds END AS seconds, CASE WHEN b.run_id IS NOT NULL THEN 'log' ELSE 'files' END AS origin FROM a FULL JOIN b USING (run_id)""")
 def stats_merge(spark, sf_dir):
+    """Two thirds of the runs have files, two thirds a log; each row of the log is in one of them or both."""
     log = _log(spark, sf_dir)
     part = lambda x: x.groupBy("run_id").agg(F.max("step").alias("last_step"), F.max("elapsed_sec").alias("seconds"))
-    return rounded(N.merge_stats(part(log.where("run_id % 3 != 0 AND step <= 1000")), part(log.where("run_id % 2 = 0")), RUN, ["last_step", "seconds"]))
+    return rounded(N.merge_stats(part(log.where("run_id % 3 != 0")), part(log.where("run_id % 3 != 1")), RUN, ["last_step", "seconds"]))
 
 
 @query(f"WITH {LOG}, {SPEED} SELECT run_id, last_step, {q6('sec_per_step')} AS sec_per_step, {q6('gap')} AS interval, k_min, {q6('k_avg')} AS k_avg, k_max, triangles FROM sp")
@@ -173,10 +174,10 @@ def monitor_by_n(spark, sf_dir):
     return rounded(N.by_size(_runs(spark, sf_dir)))
 
 
-@query(f"""WITH {LOG}, f AS (SELECT run_id, step, elapsed_sec, count(*) OVER w AS seen, regr_slope(k_avg, elapsed_sec) OVER w AS m, regr_intercept(k_avg, elapsed_sec) OVER w AS c FROM lg WHERE step <= 1000 WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+@query(f"""WITH {LOG}, f AS (SELECT run_id, step, elapsed_sec, count(*) OVER w AS seen, regr_slope(k_avg, elapsed_sec) OVER w AS m, regr_intercept(k_avg, elapsed_sec) OVER w AS c FROM lg WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT run_id, step, seen, round(CASE WHEN seen >= 5 AND m > 1e-6 THEN 2 * (3.0e0 - c) / m - elapsed_sec END, 3) + 0.0e0 AS eta FROM f""")
 def eta_sliding(spark, sf_dir):
-    x = N.eta(_log(spark, sf_dir).where("step <= 1000"), RUN, 3.0)
+    x = N.eta(_log(spark, sf_dir), RUN, 3.0)
     return x.withColumn("eta", F.round("eta", 3) + F.lit(0.0))
 
 
@@ -190,18 +191,6 @@ def forecast_rank(spark, sf_dir):
     return rounded(x.withColumn("seconds", F.round("seconds", 3)))
 
 
-@query("""WITH g AS (SELECT mu, p, CAST(1000 + 10 * ((CAST(round(mu * 1000) AS BIGINT) * 31 + CAST(round(p * 1000) AS BIGINT) * 17) % 97) AS BIGINT) AS steps, (CAST(round(mu * 1000) AS BIGINT) + CAST(round(p * 1000) AS BIGINT)) % 5 AS k
-  FROM (SELECT 1.0e0 + i * (-0.995e0 / 9) AS mu FROM range(10) t(i)) a, (SELECT 1.0e0 + j * (-0.1e0 / 4) AS p FROM range(5) t(j)) b),
-s AS (SELECT mu, p, steps, CASE WHEN steps > 1800 THEN 'TIMEOUT' WHEN k >= 2 THEN CASE WHEN k >= 4 THEN 'CRYSTALLIZED' ELSE 'STABLE' END ELSE 'COLLAPSED' END AS status FROM g)
-SELECT round(mu, 6) AS mu_deg2, round(p, 6) AS p_triadic, steps, status, status IN ('STABLE', 'CRYSTALLIZED') AS converged, row_number() OVER (ORDER BY status IN ('STABLE', 'CRYSTALLIZED') DESC, steps, mu, p) AS place FROM s""")
-def sweep_rank(spark, sf_dir):
-    g = W.grid(spark, ("mu_deg2", 1.0, 0.005, 10), ("p_triadic", 1.0, 0.9, 5))
-    a, b = F.round(F.col("mu_deg2") * 1000).cast("long"), F.round(F.col("p_triadic") * 1000).cast("long")
-    k = (a + b) % 5
-    r = g.withColumn("steps", 1000 + 10 * ((a * 31 + b * 17) % 97)).withColumn("status", W.status(F.lit(True), F.when(F.col("steps") > 1800, 0).otherwise(100), k.cast("double"), k))
-    return rounded(W.ranked(r))
-
-
 @query(f"""WITH {X.snapshots_sql()}, c AS (SELECT 0 AS run_id, step, count(*) AS stored FROM e GROUP BY step), m AS (SELECT run_id, step, stored + CASE WHEN step = 2 THEN 1 ELSE 0 END AS edges FROM c)
 SELECT CAST(run_id AS BIGINT) AS run_id, CAST(step AS BIGINT) AS step, edges, stored, edges != stored AS mismatch, max(CAST(edges != stored AS INT)) OVER (ORDER BY step) = 0 AS keep FROM m JOIN c USING (run_id, step)""")
 def integrity_check(spark, sf_dir):
@@ -248,9 +237,10 @@ def _stored_log(spark, sf_dir):
     """The log as files that a stream can read."""
     import uuid
 
-    from ..session import shared_folder
+    from ..session import shared_folder, stored
 
     path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    stored.append(path)
     log = _log(spark, sf_dir)
     log.write.parquet(path)
     return path, log.schema
@@ -277,12 +267,12 @@ def path_metadata(spark, sf_dir):
     return rounded(x.select("path", meta["engine"].alias("engine"), meta["n"].alias("n"), meta["seed"].alias("seed"), T.step_of(F.col("path")).alias("step")))
 
 
-@query(f"""WITH {LOG}, {STREAK}, {DONE}, r AS (SELECT run_id, max(step) AS step, arg_max(k_avg, step) AS k, arg_max(streak, step) AS streak, max(elapsed_sec) AS sec FROM st WHERE step <= 300 GROUP BY run_id)
+@query(f"""WITH {LOG}, {STREAK}, {DONE}, r AS (SELECT run_id, max(step) AS step, arg_max(k_avg, step) AS k, arg_max(streak, step) AS streak, max(elapsed_sec) AS sec FROM st GROUP BY run_id)
 SELECT run_id, CASE WHEN step >= 1000 THEN format('{{:.1f}}K', step / 1000.0) ELSE CAST(step AS VARCHAR) END AS steps_text, CASE WHEN k < 3.0e0 THEN printf('%.1f%%', 100 * k / 3.0e0) ELSE printf('%d/%d', streak, 10) END AS progress,
   CASE WHEN sec IS NULL OR sec < 0 THEN '---' ELSE (CASE WHEN floor(sec / 86400) = 1 THEN '1 day, ' WHEN floor(sec / 86400) > 1 THEN CAST(CAST(floor(sec / 86400) AS BIGINT) AS VARCHAR) || ' days, ' ELSE '' END) || printf('%d:%02d:%02d', CAST(floor(CAST(floor(sec) AS BIGINT) % 86400 / 3600) AS BIGINT), CAST(floor(CAST(floor(sec) AS BIGINT) % 3600 / 60) AS BIGINT), CAST(floor(sec) AS BIGINT) % 60) END AS age,
   run_id || ':' || step AS label FROM r""")
 def labels_text(spark, sf_dir):
-    s = S.streaks(_log(spark, sf_dir), RUN).where("step <= 300")
+    s = S.streaks(_log(spark, sf_dir), RUN)
     r = s.groupBy("run_id").agg(F.max("step").alias("step"), F.max_by("k_avg", "step").alias("k"), F.max_by("streak", "step").alias("streak"), F.max("elapsed_sec").alias("sec"))
     return r.select("run_id", T.short_number(F.col("step")).alias("steps_text"), T.target_label(F.col("k"), F.col("streak")).alias("progress"), T.duration(F.col("sec")).alias("age"), T.joined(F.col("run_id"), F.col("step")).alias("label"))
 
@@ -291,10 +281,3 @@ def labels_text(spark, sf_dir):
 def found_counts(spark, sf_dir):
     c = _log(spark, sf_dir).groupBy("n", "run_id").agg(F.count("*").alias("files"))
     return S.found_counts(c, ["n"], "files", 66)
-
-
-@query("""SELECT t, floor_temp AS temp FROM (SELECT CAST(i AS BIGINT) AS t, round(greatest(0.2e0 * pow(0.9999e0, i * 1000), 1e-20), 9) AS floor_temp FROM range(50) r(i)) x""")
-def temperature_schedule(spark, sf_dir):
-    from ..functions.amplitude import temperature
-
-    return spark.range(50).select(F.col("id").alias("t"), F.round(temperature(F.col("id") * 1000, 0.2, 0.9999), 9).alias("temp"))

@@ -90,8 +90,8 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCK = 2048
 
 
-def vec_edges(spark: SparkSession, sf_dir: str, cos: float = 0.25) -> DataFrame:
-    """Embedding pairs above a cosine, stored. Exact, by matrix products of blocks of vectors; only pairs above the cosine leave them."""
+def vec_edges(spark: SparkSession, sf_dir: str, cos: float = 0.25, keep: bool = False) -> DataFrame:
+    """Embedding pairs above a cosine, stored, with the cosine if ``keep``. Exact, by matrix products of blocks of vectors; only pairs above the cosine leave them."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     blocks = max(1, -(-v.count() // BLOCK))
     mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("x")
@@ -103,15 +103,16 @@ def vec_edges(spark: SparkSession, sf_dir: str, cos: float = 0.25) -> DataFrame:
         e /= np.linalg.norm(e, axis=1, keepdims=True)
         ids, x = pdf["vec_id"].to_numpy(), pdf["x"].to_numpy()
         one, two = x == pdf["low"].iloc[0], x == pdf["high"].iloc[0]
-        i, j = np.nonzero(e[one] @ e[two].T > cos)
+        product = e[one] @ e[two].T
+        i, j = np.nonzero(product > cos)
         a, b = ids[one][i], ids[two][j]
         if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
-            a, b = a[a < b], b[a < b]
-        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b)})
+            i, j, a, b = i[a < b], j[a < b], a[a < b], b[a < b]
+        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "cos": product[i, j]})
 
-    pairs = dealt.groupBy("low", "high").applyInPandas(near, "src long, dst long")
+    pairs = dealt.groupBy("low", "high").applyInPandas(near, "src long, dst long, cos double")
     theta = (F.col("src") * 7919 + F.col("dst") * 104729) % 6283 / 1000 - 3.1415
-    return checkpointed(pairs.select("src", "dst", theta.alias("theta")))
+    return checkpointed(pairs.select("src", "dst", theta.alias("theta"), *(["cos"] if keep else [])))
 
 
 def vec_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,19 +7,56 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from . import schema as S
 
 
+#: Where a reader that tolerates faults leaves a line that isn't a row.
+CORRUPT = "corrupt_line"
+
+
+def _read(spark: SparkSession, path: str, kind: str, struct, tolerant: bool) -> DataFrame:
+    """Rows of snapshot files (plain or gzip) with their ``file``; a tolerant reader keeps faulty lines apart and goes on after files that can't be read."""
+    reader = spark.read.option("header", True).option("enforceSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*_{kind}.csv*")
+    if not tolerant:
+        return reader.option("mode", "FAILFAST").schema(struct).csv(path).withColumn("file", F.col("_metadata.file_path"))
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    return reader.schema(StructType([*struct.fields, StructField(CORRUPT, StringType())])).csv(path).withColumn("file", F.col("_metadata.file_path"))
+
+
 def _table(spark: SparkSession, path: str, kind: str, struct, tolerant: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("enforceSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*_{kind}.csv")
-    reader = reader.option("mode", "PERMISSIVE" if tolerant else "FAILFAST")
-    rows = reader.schema(struct).csv(path).withColumn("file", F.col("_metadata.file_path"))
+    rows = _read(spark, path, kind, struct, tolerant)
+    if tolerant:
+        rows = rows.where(F.col(CORRUPT).isNull())
     meta = T.path_metadata(F.col("file"))
     return rows.select(meta["engine"].alias("engine"), meta["n"].alias("n"), meta["seed"].alias("seed"), T.step_of(F.col("file"), kind).alias("step"), *struct.names)
 
 
+def faults(spark: SparkSession, path: str, kind: str = "edges") -> DataFrame:
+    """``engine, n, seed, step, file, length, lines, faulty, status`` of every snapshot file of a kind.
+
+    ``status``: ``empty`` (no bytes, or a header alone), ``unreadable`` (bytes, but no line that a reader can get out of them),
+    ``faulty`` (lines that aren't rows, or a file that breaks off), ``good``.
+    """
+    files = listing(spark, path, f"*_{kind}.csv*").select(F.col("path").alias("file"), "length")
+    struct = S.EDGES if kind == "edges" else S.NODES
+    rows = _read(spark, path, kind, struct, True)
+    # A line is checked by the columns that are asked for, so all are.
+    asked = F.xxhash64(*struct.names) >= F.lit(-(1 << 63))  # holds for every line
+    read = rows.groupBy("file").agg(F.count_if(asked).alias("lines"), F.count(CORRUPT).alias("faulty"))
+    # A header alone leaves no rows but is text; what can't be unpacked or decoded leaves nothing at all.
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*_{kind}.csv*").option("ignoreCorruptFiles", True).text(path)
+    seen = text.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("raw"))
+    decoded = lambda d: d.withColumn("file", F.url_decode("file"))
+    all_files = decoded(files).join(decoded(read), "file", "left").join(decoded(seen), "file", "left").na.fill(0, ["lines", "faulty", "raw"])
+    status = F.when((F.col("length") == 0) | ((F.col("raw") > 0) & (F.col("lines") == 0)), "empty").when(F.col("raw") == 0, "unreadable").when(F.col("faulty") > 0, "faulty").otherwise("good")
+    meta = T.path_metadata(F.col("file"))
+    step = T.step_of(F.regexp_replace("file", r"\.gz$", ""), kind)
+    return all_files.select(meta["engine"].alias("engine"), meta["n"].alias("n"), meta["seed"].alias("seed"), step.alias("step"), "file", "length", "lines", "faulty", status.alias("status"))
+
+
 def read_nodes(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """Node snapshots below a folder, columns by position; ids of at least the run's N are dropped."""
     rows = _table(spark, path, "nodes", S.NODES, tolerant)
@@ -103,22 +140,34 @@ def newest(folders: DataFrame, chosen: str | None = None) -> DataFrame:
 # -- logs -------------------------------------------------------------------------------------------
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, block, at, value``: lines that aren't blank, and what orders them within their file; files are split as Spark sees fit."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("lineSep", "\n").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    return rows.where(F.trim("value") != "")
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all logs of all runs with their metadata and whether their log is completed; the logs of one run are united.
 
-    Lines of a file keep their numbers by byte order within the file, which is read as one row.
+    Lines are read one by one, whatever a file's size. A file's first line (metadata, if it is a comment) is a minimum over blocks and
+    places, its last three (completion) are the last three of its blocks' last three; both are joined back by file.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    lines = _lines(spark, path)
+    place = F.struct("block", "at")
+    first = lines.groupBy("path").agg(F.min_by("value", place).alias("first"))
+    last = lines
+    for part in (["path", "block"], ["path"]):
+        order = Window.partitionBy(*part).orderBy(F.col("block").desc(), F.col("at").desc())
+        last = last.withColumn("k", F.row_number().over(order)).where("k <= 3").drop("k")
+    done = last.groupBy("path").agg(F.bool_or(F.col("value").startswith("# COMPLETED")).alias("completed"))
+    files = first.join(done, "path").select("path", F.when(F.col("first").startswith("#"), T.key_values(F.col("first"))).alias("metadata"), "completed")
+    rows = lines.where(~F.col("value").startswith("#") & ~F.col("value").startswith("timestamp")).join(files, "path")
     meta = T.path_metadata(F.col("path"))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    f = files.select("path", meta["engine"].alias("engine"), meta["n"].alias("n"), meta["seed"].alias("seed"), lines.alias("lines"))
-    head = F.when(F.get("lines", F.lit(0)).startswith("#"), T.key_values(F.get("lines", F.lit(0))))
-    done = F.exists(F.slice("lines", F.greatest(F.size("lines") - 2, F.lit(1)), 3), lambda x: x.startswith("# COMPLETED"))
-    f = f.withColumns({"metadata": head, "completed": done})
-    rows = f.select("path", *RUN, "metadata", "completed", F.explode(F.filter("lines", lambda x: ~x.startswith("#") & ~x.startswith("timestamp"))).alias("line"))
-    cells = F.split("line", ",")
+    cells = F.split("value", ",")
     typed = [F.get(cells, F.lit(k)).try_cast(s.dataType).alias(s.name) for k, s in enumerate(S.RUN_LOG)]
-    return rows.select("path", *RUN, F.col("metadata")["start_step"].try_cast("long").alias("start_step"), "completed", *typed).where("step IS NOT NULL")
+    run = [meta[c].alias(c) for c in RUN]
+    return rows.select("path", *run, F.col("metadata")["start_step"].try_cast("long").alias("start_step"), "completed", *typed).where("step IS NOT NULL")
 
 
 # -- sinks ------------------------------------------------------------------------------------------
@@ -154,6 +203,33 @@ def append_metrics(new: DataFrame, path: str, keys: list[str]) -> None:
     checkpointed(old.unionByName(fresh, allowMissingColumns=True)).write.mode("overwrite").parquet(path)
 
 
+def refresh(spark: SparkSession, snapshots: str, metrics: str, compute, keys: list[str]) -> None:
+    """Bring stored metrics up to date with stored snapshots (partitioned by step): rows from a run's first wrong edge count on go, missing steps are computed.
+
+    Counts of edges come from the files' footers; ``compute`` gets the rows of the missing steps' partitions alone.
+    """
+    from ..operators.stability import incremental, integrity
+    from ..session import checkpointed
+
+    rows = spark.read.parquet(snapshots)
+    counts = checkpointed(rows.groupBy("step").agg(F.count("*").alias("edges")))
+    old = spark.read.parquet(metrics)
+    runs = old.select(*keys).distinct()
+    wanted = counts.crossJoin(F.broadcast(runs)) if keys else counts  # a row per run
+    checked = integrity(old, wanted, keys, last=1 << 30).where("keep").select(*keys, "step")
+    kept = checkpointed(old.join(checked, [*keys, "step"], "left_semi"))
+    missing = incremental(kept, wanted.select(*keys, "step"), keys).select("step").distinct()
+    # The missing steps meet the partitions' names, so other partitions aren't opened.
+    fresh = checkpointed(compute(missing_partitions(rows, missing)))
+    kept.write.mode("overwrite").parquet(metrics)
+    append_metrics(fresh, metrics, [*keys, "step"])
+
+
+def missing_partitions(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """Rows of these steps, of a table that is partitioned by step; partitions are pruned as the steps become known."""
+    return rows.join(F.broadcast(steps.select("step").distinct()), "step", "left_semi")  # a row per step
+
+
 def append_log(rows: DataFrame, folder: str, start: dict[str, object] | None = None, completed: str | None = None) -> None:
     """Append rows of a run's log as a text file of their own in ``folder``; the first has metadata and header, the last one may end with the completion line.
 
@@ -185,13 +261,44 @@ def _as_file(rows: DataFrame, target: str, kind: str) -> None:
     fs.delete(path(being), True)
 
 
-def write_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, engine: int, n: int, seed: int, step: int) -> None:
-    """One snapshot of one run as its two files in the layout that the readers know; a file of that layout is one task's work."""
+def remove_file(spark: SparkSession, file: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def _name(engine: int, n: int, seed: int, step: int) -> str:
     digits = f"{step:09d}"
     digits = "_".join([digits[: len(digits) % 3 or 3], *(digits[k : k + 3] for k in range(len(digits) % 3 or 3, len(digits), 3))])
-    base = f"{folder.rstrip('/')}/E{engine}/N{n}/S{seed}/data/E{engine}_N{n}_S{seed}_iter_{digits}"
-    _as_file(nodes.select("node_id", F.col("psi_re").alias("psi_real"), F.col("psi_im").alias("psi_imag")).orderBy("node_id"), f"{base}_nodes.csv", "csv")
-    _as_file(edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "theta").orderBy("source", "target"), f"{base}_edges.csv", "csv")
+    return f"E{engine}/N{n}/S{seed}/data/E{engine}_N{n}_S{seed}_iter_{digits}"
+
+
+def write_snapshots(nodes: DataFrame, edges: DataFrame, folder: str, engine: int, n: int, seed: int) -> None:
+    """All snapshots of one run (column ``step``) in the layout that the readers know: one job for the nodes, one for the edges, a task a file.
+
+    Files are written beside the run, by step, and renamed once their job is done.
+    """
+    base = folder.rstrip("/")
+    kinds = {
+        "nodes": nodes.select("step", "node_id", F.col("psi_re").alias("psi_real"), F.col("psi_im").alias("psi_imag")),
+        "edges": edges.select("step", F.col("src").alias("source"), F.col("dst").alias("target"), "theta"),
+    }
+    spark = nodes.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for kind, rows in kinds.items():
+        being = f"{base}/_{kind}"
+        rows.repartition("step").sortWithinPartitions(*rows.columns[:-1]).write.mode("overwrite").partitionBy("step").option("header", True).csv(being)
+        fs = path(being).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for part in fs.globStatus(path(f"{being}/step=*/part-*")):
+            target = path(f"{base}/{_name(engine, n, seed, int(part.getPath().getParent().getName()[5:]))}_{kind}.csv")
+            fs.mkdirs(target.getParent())
+            fs.delete(target, False)
+            fs.rename(part.getPath(), target)
+        fs.delete(path(being), True)
+
+
+def write_snapshot(nodes: DataFrame, edges: DataFrame, folder: str, engine: int, n: int, seed: int, step: int) -> None:
+    """One snapshot of one run as its two files."""
+    write_snapshots(nodes.withColumn("step", F.lit(step)), edges.withColumn("step", F.lit(step)), folder, engine, n, seed)
 
 
 def drop_nan(metrics: DataFrame, column: str) -> DataFrame:

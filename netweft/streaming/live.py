@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructType
 
-from ..session import shared_folder
+from ..session import shared_folder, stored
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -109,6 +109,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     where = shared_folder(spark)
     out, state = f"{where}/stream-{uuid.uuid4().hex}", f"{where}/stream-state-{uuid.uuid4().hex}"
+    stored.extend([out, state])
 
     def keep(batch: DataFrame, k: int) -> None:
         batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/batch_id={k}")

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweft.functions import amplitude as A
+from netweft.operators import curvature as C
 from netweft.operators import geometry as E
 from netweft.operators import graph as G
+from netweft.operators import landmarks as L
 from netweft.operators import metrics as M
 from netweft.operators import observables as O
 from netweft.sources.schema import PARAMS as P
@@ -119,7 +121,7 @@ def test_gauge_invariance(series):
 def test_curvatures(spark, series):
     _, e = series
     kappa = {}
-    for r in E.ollivier(e, ["g"]).collect():
+    for r in C.ollivier(e, ["g"]).collect():
         kappa.setdefault(r["g"], set()).add(round(r["kappa"], 9))
     assert kappa[3] == {round(6 / 10, 9)} and kappa[1] == {0.0} and kappa[2] == {round(1 / 5, 9)} and kappa[4] == {0.75}
     forman = {r["g"]: r["f"] for r in O.forman_edges(e, ["g"]).groupBy("g").agg(F.avg("forman").alias("f")).collect()}
@@ -135,7 +137,7 @@ def test_spectra_and_embeddings(spark, series):
     side = 9
     grid = [(i * side + j, i * side + j + 1) for i in range(side) for j in range(side - 1)] + [(i * side + j, (i + 1) * side + j) for i in range(side - 1) for j in range(side)]
     g = spark.createDataFrame(grid, "src long, dst long")
-    x = E.lmds_embedding(g, k=40).collect()
+    x = L.lmds_embedding(g, k=40).collect()
     assert len(x) == 81 and x[0]["explained"] > 0.7
     turn = np.array([[0.0, -1.0], [1.0, 0.0]])
     frames = [(0, s, r["node_id"], [float(c) for c in (np.array(r["x"]) @ turn if s else np.array(r["x"]))]) for s in (0, 1) for r in x]
@@ -185,4 +187,5 @@ def test_transport_cost_matches_enumeration():
         n = int(rng.integers(1, 6))
         c = rng.integers(0, 4, (n, n))
         best = min(sum(c[i, p[i]] for i in range(n)) for p in permutations(range(n)))
-        assert E.transport_cost({("a", i): 1 for i in range(n)}, {("b", i): 1 for i in range(n)}, lambda x, y: int(c[x[1], y[1]])) == best
+        ones = np.ones((1, n), np.int64)
+        assert C.transport(ones, ones, c[None]).tolist() == [best]
