@@ -9,11 +9,11 @@ in its group given the context, both log-bilinear. Words beyond the vocabulary f
 their last two bytes (the commonest ``SUFFIXES`` endings, and the rest), which the network predicts like
 groups; in a class their probability comes from smoothed counts, with one unknown word per class.
 
-Training reads all training tokens once. Each task runs stochastic noise-contrastive estimation on
-its own texts from common parameters, with noise groups and noise words of the group drawn from the unigram
-distribution, and parameters are averaged by tokens, in two steps of sums over pieces of the parameters;
-the texts of the first round (an eighth, by checksum) are too few to drift apart, those of the second start
-from their average. Scores come from batched matrix products over all groups, and over all words of
+Training reads all training tokens once, in rounds of texts by checksum, each ``GROWTH`` times the one before; their number grows
+with the logarithm of the tokens, so that more text always means more steps from a better start. In a round each task runs
+stochastic noise-contrastive estimation on its own texts (some ``TASK`` tokens) from common parameters, with noise groups and
+noise words of the group drawn from the unigram distribution, and parameters are averaged by tokens, in two steps of sums over
+pieces of the parameters; the texts of the first round are too few to drift apart. Scores come from batched matrix products over all groups, and over all words of
 a group for the tokens in it.
 
 What is gathered: word counts by 64-bit word hash (all training tokens) and gradients of all training tokens. The
@@ -43,8 +43,8 @@ COMMON = 1 << 18
 DIMENSIONS, GROUP_NOISE, WORD_NOISE, RATE, BATCH, SEED = 24, 64, 2, 0.15, 8192, 11
 #: Contexts that are scored at a time: their scores stay in the processor's cache.
 ROWS = 512
-#: Tokens of a training task at least, where there are so many; the first round's share of the texts; pieces of the parameters.
-TASK, WARM, PARTS, SALTS = 4_000_000, 8, 16, 64
+#: Tokens of a training task at least, where there are so many; how rounds grow; pieces of the parameters.
+TASK, GROWTH, PARTS, SALTS = 500_000, 8, 16, 64
 #: Distinct words that a task gathers before it hands them on.
 GATHERED = 1 << 20
 FOLDS, HELD_OUT = 5, 1
@@ -104,6 +104,8 @@ class Vocabulary:
     """Word hashes and suffixes to token numbers: words by rank, the end, classes of further words."""
 
     def __init__(self, words: np.ndarray, suffixes: list[int]) -> None:
+        if len(words) + 2 + SUFFIXES > 1 << 16:
+            raise ValueError("token numbers are sorted as 16 bits")
         order = np.argsort(words)
         self.hashes, self.ranks, self.size, self.end = words[order], order.astype(np.int32), len(words), len(words)
         self.by_suffix = np.full(65536, self.end + 1 + SUFFIXES, np.int32)
@@ -297,6 +299,14 @@ def train_round(texts: DataFrame, model: LogBilinear, tasks: int) -> None:
             flat = flat[size:]
 
 
+def rounds(tokens_: int) -> int:
+    """Two, and one more each time the tasks grow by ``GROWTH``; parts of a checksum bound them."""
+    n = 2
+    while n < 11 and tokens_ > TASK * GROWTH ** (n - 1):
+        n += 1
+    return n
+
+
 class Trained(NamedTuple):
     """Stored word counts and what each worker needs: model, logarithms of class sums, counts of vocabulary and common words."""
 
@@ -342,9 +352,11 @@ def train(texts: DataFrame) -> Trained:
     model = LogBilinear(vocabulary, held)
     n_train = int(held.sum())
     if n_train:
-        first = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(WARM)) == 0
-        train_round(texts.where(first), model, max(1, n_train // WARM // TASK))
-        train_round(texts.where(~first), model, max(1, n_train // TASK))
+        last = rounds(n_train) - 1
+        part = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(GROWTH**last))
+        for k in range(last + 1):
+            low, high = (GROWTH ** (k - 1) if k else 0), GROWTH**k
+            train_round(texts.where((part >= low) & (part < high)), model, max(1, n_train * (high - low) // GROWTH**last // TASK))
     else:
         model.p["r"][:] = 0
     # Words of a class share its probability by their counts, one unknown word among them.
