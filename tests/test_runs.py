@@ -49,12 +49,6 @@ def test_launch_pads_and_missing_frames(spark):
     assert sorted(r["step"] for r in D.missing_frames(have, ["run_id"], 2.0).collect()) == [s for s in range(0, 501, 83) if s not in (100, 200, 400, 500)]
 
 
-def test_bisection_order():
-    assert D.bisection_order(0) == [] and D.bisection_order(1) == [0] and D.bisection_order(2) == [0, 1]
-    assert D.bisection_order(9) == [0, 8, 4, 2, 6, 1, 3, 5, 7]
-    assert all(sorted(D.bisection_order(n)) == list(range(n)) for n in range(40))
-
-
 def test_forecast_recovers_a_power_law(spark):
     rows = [(k, n, 2e-6 * n**1.5, 30.0 * n**1.2) for k, n in enumerate((100, 200, 400, 800))]
     runs = spark.createDataFrame(rows, "run_id long, n long, sec_per_step double, done_step double")
