@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,10 +64,19 @@ def arrow_kernel(df: DataFrame, schema: str | StructType, rows: Callable[[pa.Rec
         for batch in batches:
             for part in rows(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) if not isinstance(part[f.name], pa.Array) else part[f.name].cast(f.type) for f in target], schema=target)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return what a kernel has freed to the system: a worker serves task after task, of other kernels too."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):  # a C library without it keeps what it has
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
