@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .shared import arrow_kernel, arrow_schema, cut, discard
+from .shared import arrow_kernel, arrow_schema, cut, discard, giving_back
 
 WORDS, R = 5, 0.25
 SHARED_MOST = 1 << 16
@@ -147,7 +147,7 @@ def _signatures(docs: DataFrame, common) -> DataFrame:
                 ids = [batch.column(c).slice(block.rows.start, len(block.rows)) for c in ("doc_id", "row")]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(n, pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in range(2)), _large_arrays(pivots).cast(target.field("pivots").type)], schema=target)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def _shared_names(rows: DataFrame) -> list[int]:
@@ -223,7 +223,7 @@ def _regions(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield from whole(held)
 
-    return rows.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(run, _PAIRS)
+    return rows.repartition("key").sortWithinPartitions("key", "n", "sig").mapInArrow(giving_back(run), _PAIRS)
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def _sets(docs: DataFrame, sigs: DataFrame, shared: set[int]) -> DataFrame:
 
     schema = "sig long, n long, set array<long>"
     target = arrow_schema(docs.sparkSession, schema)
-    found = docs.mapInArrow(run, schema).join(sigs, "sig")
+    found = docs.mapInArrow(giving_back(run), schema).join(sigs, "sig")
     out = found.groupBy(*sigs.columns, "n").agg(F.first("set").alias("set"))
     out.passing = passing
     return out
@@ -287,7 +287,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, shared: set[int]) -> DataFrame:
 
     sets = _sets(docs, cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "jaccard-wanted"), shared)
     one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("one")), "a")
-    out = one.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    out = one.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(giving_back(run), "a long, b long")
     out.passing = sets.passing
     return out
 
@@ -423,7 +423,7 @@ def _join_regions(regions: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield from joined()
 
-    return regions.select("region", "sig", "set", "home", "m", "half").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(run, _FOUND)
+    return regions.select("region", "sig", "set", "home", "m", "half").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(giving_back(run), _FOUND)
 
 
 def _split(regions: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -458,7 +458,7 @@ def _split(regions: DataFrame, sizes: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(target)], schema=target)
 
-    return rows.repartition("region", "salt").sortWithinPartitions("region", "salt", "role", "sig").mapInArrow(run, schema)
+    return rows.repartition("region", "salt").sortWithinPartitions("region", "salt", "role", "sig").mapInArrow(giving_back(run), schema)
 
 
 def _sized(regions: DataFrame, most_sets: int, most_hashes: int) -> DataFrame:

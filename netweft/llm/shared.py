@@ -64,9 +64,18 @@ def arrow_kernel(df: DataFrame, schema: str | StructType, rows: Callable[[pa.Rec
         for batch in batches:
             for part in rows(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) if not isinstance(part[f.name], pa.Array) else part[f.name].cast(f.type) for f in target], schema=target)
+
+    return df.mapInArrow(giving_back(run), schema)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same kernel; when its task ends, freed memory is returned."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return whole
 
 
 def give_back() -> None:
