@@ -11,16 +11,24 @@ The first frame of a lace has its block's time. The others follow by the track's
 uncompressed sound, by the bytes of the frames before them, or by their share of the block's duration;
 where a file states none of these, their time is null.
 
+Frames of tracks with content encodings are stored compressed or without a common header: ``packets``
+gives their bytes as stored and says so in ``encoded``, ``frames`` undoes zlib, bzip2 and stripped headers.
+
+A file that can't be parsed (cut off, overlapping elements, no EBML header) fails no job: it has a row in
+``faults`` with the reason, none in ``packets``, ``cues`` and ``frames``, and null payload columns in ``features``. So has, in
+``frames``, ``faults`` and ``features``, one with frames that can't be decoded (encrypted, LZO, damaged).
+
 Defined cases: a null or empty text has a payload of 64 zero bytes; repeated rows and null ids are
 kept row for row; an empty table gives an empty table; other columns of the input are not touched.
 """
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +48,9 @@ CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 VOID, CRC_32 = 0xEC, 0xBF
 DEFAULT_DURATION, BLOCK_DURATION, REFERENCE_BLOCK = 0x23E383, 0x9B, 0xFB
+CONTENT_ENCODINGS, CONTENT_ENCODING, ENCODING_ORDER, ENCODING_SCOPE, ENCODING_TYPE = 0x6D80, 0x6240, 0x5031, 0x5032, 0x5033
+COMPRESSION, COMPRESSION_ALGORITHM, COMPRESSION_SETTINGS = 0x5034, 0x4254, 0x4255
+ALGORITHMS = ("zlib", "bzip2", "lzo", "stripped")
 
 #: Samples in a millisecond, so a unit of 64 bytes lasts one tick; bytes in a frame, frames in a block, blocks in a cluster.
 UNIT, FRAME, LACED, BLOCKS = 64, 512, 8, 16
@@ -149,11 +160,29 @@ class Track(NamedTuple):
     bits: int
     channels: int = 1
     frame: int | None = None
+    #: How a reader undoes the encodings of frames, in this order, each with its settings.
+    encodings: tuple[tuple[str, bytes], ...] = ()
 
     @property
     def byte(self) -> float | None:
         size = self.bits * self.channels / 8
-        return 1e9 / (self.rate * size) if self.codec.startswith("A_PCM/") and size and self.rate else None
+        return 1e9 / (self.rate * size) if self.codec.startswith("A_PCM/") and size and self.rate and not self.encodings else None
+
+    def decoded(self, frame: bytes) -> bytes:
+        for how, settings in self.encodings:
+            if how == "stripped":
+                frame = settings + frame
+            elif how == "zlib":
+                frame = zlib.decompress(frame)
+            elif how == "bzip2":
+                frame = bz2.decompress(frame)
+            else:
+                raise ValueError(f"frames are {how}")
+        return frame
+
+
+#: What a file that isn't well-formed, or a damaged frame, can raise.
+FAULTS = (ValueError, LookupError, OSError, EOFError, OverflowError, struct.error, zlib.error)
 
 
 def _elements(data: bytes, at: int, end: int, within: int = 0) -> Iterator[tuple[int, int, int]]:
@@ -224,7 +253,24 @@ def _track(data: bytes, at: int, end: int) -> tuple[int, Track]:
     number = lambda found, kind, default: _number(data, *found[kind]) if kind in found else default
     rate = _seconds(data, *audio[SAMPLING_FREQUENCY]) if SAMPLING_FREQUENCY in audio else 8000.0
     codec = data[slice(*own[CODEC_ID])].decode() if CODEC_ID in own else ""
-    return _number(data, *own[TRACK_NUMBER]), Track(codec, rate, number(audio, BIT_DEPTH, 0), number(audio, CHANNELS, 1), number(own, DEFAULT_DURATION, None))
+    encodings = _encodings(data, *own[CONTENT_ENCODINGS]) if CONTENT_ENCODINGS in own else ()
+    return _number(data, *own[TRACK_NUMBER]), Track(codec, rate, number(audio, BIT_DEPTH, 0), number(audio, CHANNELS, 1), number(own, DEFAULT_DURATION, None), encodings)
+
+
+def _encodings(data: bytes, at: int, end: int) -> tuple[tuple[str, bytes], ...]:
+    """Encodings that apply to frames; the one of the highest order was applied last and is undone first."""
+    found = []
+    for kind, a, b in _elements(data, at, end):
+        if kind != CONTENT_ENCODING:
+            continue
+        own = {k: (x, y) for k, x, y in _elements(data, a, b)}
+        order, scope, what = (_number(data, *own[k]) if k in own else default for k, default in ((ENCODING_ORDER, 0), (ENCODING_SCOPE, 1), (ENCODING_TYPE, 0)))
+        inner = {k: (x, y) for k, x, y in _elements(data, *own[COMPRESSION])} if COMPRESSION in own else {}
+        algorithm = _number(data, *inner[COMPRESSION_ALGORITHM]) if COMPRESSION_ALGORITHM in inner else 0
+        how = "encrypted" if what else ALGORITHMS[algorithm] if algorithm < len(ALGORITHMS) else "of an unknown compression"
+        if scope & 1:
+            found.append((order, how, data[slice(*inner[COMPRESSION_SETTINGS])] if COMPRESSION_SETTINGS in inner else b""))
+    return tuple((how, settings) for _, how, settings in sorted(found, key=lambda x: -x[0]))
 
 
 def demux(data: bytes) -> tuple[list[Packet], list[Cue], dict[int, Track]]:
@@ -232,7 +278,9 @@ def demux(data: bytes) -> tuple[list[Packet], list[Cue], dict[int, Track]]:
     packets: list[Packet] = []
     cues: list[Cue] = []
     tracks: dict[int, Track] = {}
-    for kind, a, b in _elements(data, 0, len(data)):
+    for k, (kind, a, b) in enumerate(_elements(data, 0, len(data))):
+        if not k and kind != EBML:
+            raise ValueError("the file has no EBML header")
         if kind != SEGMENT:
             continue
         scale, at = 1_000_000, a
@@ -257,6 +305,18 @@ def demux(data: bytes) -> tuple[list[Packet], list[Cue], dict[int, Track]]:
     return packets, cues, tracks
 
 
+def attempt(data: bytes, decode: bool = False) -> tuple[list[Packet], list[Cue], dict[int, Track], list[bytes]] | str:
+    """What ``demux`` finds and, if asked for, the decoded frames; of a faulty file the reason."""
+    try:
+        if not data:
+            raise ValueError("the file is empty")
+        found, index, tracks = demux(data)
+        plain = Track("", 0.0, 0)
+        return found, index, tracks, [tracks.get(p.track, plain).decoded(data[p.offset : p.offset + p.length]) for p in found] if decode else []
+    except FAULTS as error:
+        return f"{type(error).__name__}: {error}"
+
+
 def _cluster(data: bytes, start: int, at: int, end: int, packets: list[Packet], tracks: dict[int, Track], scale: int) -> None:
     base = 0
     for kind, a, b in _elements(data, at, end, CLUSTER):
@@ -306,28 +366,47 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return arrow_kernel(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), STORED, rows)
 
 
-def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """The packet table: a row per frame of each file (null files have none)."""
-    names = ("track", "timestamp", "offset", "length", "cluster", "block", "lacing", "keyframe")
+def _per_file(media: DataFrame, id_col: str, media_col: str, schema: str, found: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+    """``doc_id`` and the columns of ``schema`` for each tuple that a file gives; null files give none."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "media"):
-            found = [(i, k, p) for i, m in zip(part.column("doc_id").to_pylist(), part.column("media").to_pylist(), strict=True) if m is not None for k, p in enumerate(demux(m)[0])]
-            yield {"doc_id": [x[0] for x in found], "packet": [x[1] for x in found]} | {n: [x[2][k] for x in found] for k, n in enumerate(names)}
+            out = [(i, *x) for i, m in zip(part.column("doc_id").to_pylist(), part.column("media").to_pylist(), strict=True) if m is not None for x in found(m)]
+            yield {n: [x[k] for x in out] for k, n in enumerate(("doc_id", *names))}
 
-    schema = "doc_id long, packet long, track long, timestamp long, offset long, length long, cluster long, block long, lacing int, keyframe boolean"
-    return arrow_kernel(media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")), schema, rows)
+    return arrow_kernel(media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")), f"doc_id long, {schema}", rows)
+
+
+def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """The packet table: a row per frame of each file (null and faulty files have none)."""
+
+    def found(m: bytes) -> Iterator[tuple]:
+        if not isinstance(got := attempt(m), str):
+            for k, p in enumerate(got[0]):
+                yield k, *p, p.track in got[2] and bool(got[2][p.track].encodings)
+
+    return _per_file(media, id_col, media_col, "packet long, track long, timestamp long, offset long, length long, cluster long, block long, lacing int, keyframe boolean, encoded boolean", found)
 
 
 def cues(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """The cue table: a row per index entry, with the byte position of its cluster."""
+    return _per_file(media, id_col, media_col, "time long, track long, position long", lambda m: iter(()) if isinstance(got := attempt(m), str) else iter(got[1]))
+
+
+def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """The bytes of each frame with its track's encodings undone; ``packet`` is that of the packet table."""
+
+    def found(m: bytes) -> Iterator[tuple]:
+        if not isinstance(got := attempt(m, True), str):
+            yield from ((k, p.track, x) for k, (p, x) in enumerate(zip(got[0], got[3], strict=True)))
+
+    return _per_file(media, id_col, media_col, "packet long, track long, frame binary", found)
 
-    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, "media"):
-            found = [(i, *c) for i, m in zip(part.column("doc_id").to_pylist(), part.column("media").to_pylist(), strict=True) if m is not None for c in demux(m)[1]]
-            yield {n: [x[k] for x in found] for k, n in enumerate(("doc_id", "time", "track", "position"))}
 
-    return arrow_kernel(media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")), "doc_id long, time long, track long, position long", rows)
+def faults(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """Files that can't be parsed or decoded, with the reason."""
+    return _per_file(media, id_col, media_col, "fault string", lambda m: iter([(got,)] if isinstance(got := attempt(m, True), str) else []))
 
 
 def feature(payload: bytes, found: list[Packet], index: list[Cue]) -> str:
@@ -341,11 +420,15 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digests and features of each stored file; the payload is put together from the packet table's byte ranges."""
+    """Digests and features of each stored file; the payload is put together from the packet table's byte ranges. A faulty file has nulls."""
 
     def one(n: int, m: bytes) -> tuple:
-        found, index, _ = demux(m)
-        payload = b"".join([m[p.offset : p.offset + p.length] for p in found])
+        if isinstance(got := attempt(m, True), str):
+            return n, None, None, None, len(m), hashlib.sha256(m).hexdigest(), None
+        found, index, _, parts = got
+        payload = b"".join(parts)
+        if not payload:
+            return n, 0, hashlib.sha256(b"").hexdigest(), 0, len(m), hashlib.sha256(m).hexdigest(), None
         return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(payload, found, index)
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:

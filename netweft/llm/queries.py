@@ -24,6 +24,16 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(documents(spark, sf_dir)))
 
 
+def op2_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of every stored file: track, time, byte range, cluster."""
+    return matroska.packets(matroska.store(documents(spark, sf_dir)))
+
+
+def op2_matroska_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every index entry of every stored file."""
+    return matroska.cues(matroska.store(documents(spark, sf_dir)))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).drop("n_links")
 
@@ -82,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_matroska, op3_jaccard_join, op3_jaccard_links, op4_mixing, op5_sharding, op6_warc,
+        op1_quality_rules, op2_matroska, op2_matroska_packets, op2_matroska_cues, op3_jaccard_join, op3_jaccard_links, op4_mixing, op5_sharding, op6_warc,
         op7_quality_classifier, op8_packing, op9_license_scan, op10_lm_scoring, op11_filter_audit, op12_conversation_trie, op13_token_counts, pipeline,
     )
 }

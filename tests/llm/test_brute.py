@@ -1,5 +1,6 @@
 """Operators against plain programs that follow their rules row by row, and rows at the edges."""
 
+import bz2
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -91,6 +92,64 @@ def test_times_of_laced_frames(stated, want):
     assert file[found[0].cluster : found[0].cluster + 4] == bytes.fromhex("1F43B675")
 
 
+def _file(track: bytes, frames: list[bytes]) -> bytes:
+    M = matroska
+    blocks = b"".join(M._element(M.SIMPLE_BLOCK, b"\x81\x00\x00\x80" + x) for x in frames)
+    head = M._element(M.TRACKS, M._element(M.TRACK_ENTRY, M._uint(M.TRACK_NUMBER, 1) + track))
+    return M._element(M.EBML, b"") + M._element(M.SEGMENT, head + M._element(M.CLUSTER, M._uint(M.TIMESTAMP, 0) + blocks))
+
+
+def _encoding(algorithm: int, settings: bytes = b"", order: int = 0, scope: int = 1, kind: int = 0) -> bytes:
+    M = matroska
+    inner = M._element(M.COMPRESSION, M._uint(M.COMPRESSION_ALGORITHM, algorithm) + M._element(M.COMPRESSION_SETTINGS, settings))
+    return M._element(M.CONTENT_ENCODING, M._uint(M.ENCODING_ORDER, order) + M._uint(M.ENCODING_SCOPE, scope) + M._uint(M.ENCODING_TYPE, kind) + inner)
+
+
+def test_content_encodings_are_undone(spark):
+    M, plain = matroska, [b"head one", b"head two " * 50, b"head "]
+    all_of = lambda *x: M._element(M.CONTENT_ENCODINGS, b"".join(x))
+    files = {
+        0: _file(b"", plain),
+        1: _file(all_of(_encoding(0)), [zlib.compress(x) for x in plain]),
+        2: _file(all_of(_encoding(1)), [bz2.compress(x) for x in plain]),
+        3: _file(all_of(_encoding(3, b"head ")), [x[5:] for x in plain]),
+        4: _file(all_of(_encoding(3, b"head ", 0), _encoding(0, order=1)), [zlib.compress(x[5:]) for x in plain]),
+        5: _file(all_of(_encoding(0, scope=2)), plain),  # of the track's private data only
+        6: _file(all_of(_encoding(0)), plain),  # not what the track says
+        7: _file(all_of(_encoding(2)), plain),
+        8: _file(all_of(_encoding(0, kind=1)), plain),
+        9: _file(M._element(M.CONTENT_ENCODINGS, M._element(M.CONTENT_ENCODING, b"")), [zlib.compress(x) for x in plain]),  # defaults
+    }
+    media = spark.createDataFrame([(k, 0, bytearray(m)) for k, m in files.items()], "doc_id long, n_bytes long, media binary")
+    got = defaultdict(list)
+    for r in matroska.frames(media).orderBy("doc_id", "packet").collect():
+        got[r["doc_id"]].append(bytes(r["frame"]))
+    assert dict(got) == dict.fromkeys((0, 1, 2, 3, 4, 5, 9), plain)
+    assert {r["doc_id"] for r in matroska.faults(media).collect()} == {6, 7, 8}
+    assert {r["doc_id"] for r in matroska.packets(media).where("encoded").collect()} == {1, 2, 3, 4, 6, 7, 8, 9}
+    digests = {r["doc_id"]: r["payload_sha256"] for r in matroska.features(media).collect()}
+    assert {k for k, x in digests.items() if x == hashlib.sha256(b"".join(plain)).hexdigest()} == {0, 1, 2, 3, 4, 5, 9} and digests[6] is None
+
+
+def test_faulty_files_fail_no_job(spark):
+    whole = matroska.mux(bytes(range(64)) * 40)
+    rng = np.random.default_rng(5)
+    bad = [whole[:k] for k in range(0, len(whole), 7)] + [rng.bytes(int(n)) for n in rng.integers(1, 300, 50)]
+    for k in rng.integers(0, len(whole), 200).tolist():  # a damaged byte may do no harm, but raises nothing
+        bad.append(whole[:k] + bytes([whole[k] ^ 0xFF]) + whole[k + 1 :])
+    rows = [(-1, 1, bytearray(whole)), (-2, 1, None), *((k, 1, bytearray(m)) for k, m in enumerate(bad))]
+    media = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    faulty = {r["doc_id"]: r["fault"] for r in matroska.faults(media).collect()}
+    cut_off = {k for k in range(0, -(-len(whole) // 7)) if bad[k] != whole}
+    # Where the header's element alone is left, the file is well-formed and holds nothing.
+    assert {k for k in cut_off if k not in faulty} <= {k for k in cut_off if not matroska.attempt(bad[k])[0]} and len(cut_off - set(faulty)) <= 1
+    assert -1 not in faulty and -2 not in faulty and all(faulty.values())
+    assert {r["doc_id"] for r in matroska.packets(media).select("doc_id").distinct().collect()}.isdisjoint(faulty)
+    assert matroska.cues(media).where("doc_id = -1").count() == 1 and matroska.packets(media).where("doc_id = -1").count() == 5
+    given = {r["doc_id"]: r for r in matroska.features(media.where("media IS NOT NULL")).collect()}
+    assert len(given) == len(rows) - 1 and all(given[k]["payload_sha256"] is None and given[k]["media_bytes"] == len(bad[k]) for k in faulty)
+
+
 def test_features_written_out(spark):
     texts = ["", None, "abc", "é" * 1000, "long " * 300_000]
     media = matroska.store(make(spark, list(enumerate(texts))))
@@ -182,6 +241,14 @@ def test_statistics_written_out():
     lower = [x.lower() for x in w]
     assert got["word_after_itself"] == pytest.approx(sum(a == b for a, b in zip(lower, lower[1:])) / len(w))
     assert got["commonest_word"] == pytest.approx(max(Counter(lower).values()) / len(w))
+    assert got["punctuation"] == pytest.approx(2 / len(w)) and got["symbols"] == pytest.approx(2 / len(raw))
+    assert got["distinct_words"] == pytest.approx(len(set(lower)) / len(w) ** 0.9)
+    assert got["words_per_line"] == pytest.approx(np.log1p(len(w) / 3))
+    windows = [tuple(lower[k : k + 8]) for k in range(len(w) - 7)]
+    assert got["repeated_windows"] == pytest.approx(1 - len(set(windows)) / len(windows))
+    assert got["stop_words"] == pytest.approx(sum(x in rules.ALL_STOP_WORDS for x in lower) / len(w)) and got["stop_words"] > 0
+    twice = "a b c d e f g h " * 3
+    assert classifier.statistics_of(pa.array([twice]))[0][classifier.STATISTICS.index("repeated_windows")] == pytest.approx(1 - 8 / 17)
 
 
 # -- pipeline ---------------------------------------------------------------------------------------------
